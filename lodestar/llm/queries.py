@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm.common import documents
+from lodestar.llm.common import documents, labels
 from lodestar.llm.exact_dedup import exact_dedup
+from lodestar.llm.quality import quality
 from lodestar.llm.substring_dedup import substring_dedup
+from lodestar.llm.toxicity import toxicity
 
 OP1 = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
@@ -39,8 +41,18 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text; the model learns from labels outside the held-out fifth."""
+    return toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text; the model learns from labels outside the held-out quarter."""
+    return quality(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op5_exact_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op5_exact_dedup, op6_toxicity, op8_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
