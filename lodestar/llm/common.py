@@ -90,7 +90,7 @@ def blocks(batches: Iterable[pa.RecordBatch], most: int = 4 << 20) -> Iterator[p
 class Hashes(dict):
     """64-bit hashes of words, remembered while there are fewer than ``most``."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 
