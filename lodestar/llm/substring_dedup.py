@@ -136,8 +136,9 @@ def _sequence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _copies(texts: DataFrame, length: int) -> DataFrame:
     """Ids of documents whose words, ``length`` or more, are those of a document with a smaller id."""
     rows = texts.mapInArrow(_sequence, "id long, words int, digest binary").where(F.col("words") >= length)
-    first = rows.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    return rows.join(first, "digest").where(F.col("id") > F.col("first")).select("id").distinct().withColumn("copy", F.lit(True))
+    first = rows.groupBy("digest").agg(F.min("id").alias("id"))
+    # the id is part of the key: no large group of copies meets in one task
+    return rows.join(first, ["digest", "id"], "left_anti").select("id").distinct().withColumn("copy", F.lit(True))
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
