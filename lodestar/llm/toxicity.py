@@ -16,6 +16,7 @@ import math
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +67,17 @@ class _Codes(dict):
         return code
 
 
+class _Terms(dict):
+    """The terms of each word as it stands in a text."""
+
+    def __missing__(self, chunk: bytes) -> list[str]:
+        if len(self) >= 100_000:
+            self.clear()
+        word = chunk.decode("utf-8", "ignore").lower().strip(_EDGES)
+        self[chunk] = terms = _terms(word) if word else []
+        return terms
+
+
 def features(texts: list[bytes], codes: _Codes) -> np.ndarray:
     rates, rows = byte_rates(texts), []
     for x in texts:
@@ -98,16 +110,15 @@ class ToxicityModel:
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In how many documents of each half and label each term stands, summed while it fits."""
     found: list[Counter] = [Counter() for _ in range(4)]
+    terms_of = _Terms()
 
     def out() -> pa.RecordBatch:
         terms = list(set().union(*found))
-        return pa.record_batch([pa.array(terms), *(pa.array([c[t] for t in terms], pa.int64()) for c in found)], names=["term", "c0", "c1", "c2", "c3"])
+        return pa.record_batch([pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in found)], names=["term", "c0", "c1", "c2", "c3"])
 
     for batch in blocks(batches):
         for x, y, part in zip(as_bytes(batch.column("text")), batch.column("y").to_pylist(), batch.column("part").to_pylist(), strict=True):
-            words = {w.decode("utf-8", "ignore").lower().strip(_EDGES) for w in set(x.split())}
-            words.discard("")
-            found[2 * (part % 2) + y].update({t for w in words for t in _terms(w)})
+            found[2 * (part % 2) + y].update(set(chain.from_iterable(map(terms_of.__getitem__, set(x.split())))))
         if sum(map(len, found)) > 400_000:
             yield out()
             found = [Counter() for _ in range(4)]
