@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,21 +24,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import as_bytes, blocks, materialize
-from lodestar.llm.tokens import Encoder, Known
+from lodestar.llm.tokens import WORDS_PATTERN, Units
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 _DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+@lru_cache(maxsize=1)
+def _known(name: str) -> Units:
+    """Kept by the worker from task to task."""
+    return Units(name, WORDS_PATTERN, lower=True)
+
+
 def _pieces(name: str, length: int, end: int):
     last = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(name)
-        known = Known(lambda words: [x.astype("<u4").tobytes() for x in encoder.many([w.decode("utf-8") for w in words])])
+        known = _known(name)
         for batch in blocks(batches, 2 << 20):
             words = [x.split() for x in as_bytes(batch.column("text"))]
-            known.take(words)
             rows = []
             for i, w in zip(batch.column("doc_id").to_pylist(), words, strict=True):
                 ids = b"".join(map(known.__getitem__, w)) + last

@@ -18,13 +18,14 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import as_bytes, blocks
-from lodestar.llm.tokens import Encoder, Known
+from lodestar.llm.tokens import BYTES_PATTERN, Units
 
 #: A space before white space of any kind, in UTF-8.
 _RUN = re.compile(rb" (?:[\t-\r\x1c-\x1f ]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\xaf]|\xe2\x81\x9f|\xe3\x80\x80)")
@@ -88,16 +89,19 @@ def frequent_units(docs: DataFrame, most: int = 1 << 15, longest: int = 48, at_o
     return [bytes(u) for r in summaries.collect() for u in r.units]
 
 
+@lru_cache(maxsize=1)
+def _known(name: str, table) -> tuple[Units, Units]:
+    """The two tiers for units after a space, and first units; kept by the worker from task to task."""
+    lasting = dict(zip(*table.value, strict=True))
+    return Units(name, BYTES_PATTERN, lower=False, before=" ", lengths=True, lasting=lasting), Units(name, BYTES_PATTERN, lower=False, lengths=True, most=20_000)
+
+
 def _lengths(name: str, table, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(name)
-        known = Known(lambda words: list(map(len, encoder.many([" " + w.decode("utf-8") for w in words]))), lasting=dict(zip(*table.value, strict=True)))
-        firsts = Known(lambda words: list(map(len, encoder.many([w.decode("utf-8") for w in words]))))
+        known, firsts = _known(name, table)
         for batch in blocks(batches, 2 << 20):
             texts = as_bytes(batch.column("text"))
             cut = [units(x) for x in texts]
-            known.take(c[1] for c in cut)
-            firsts.take([[c[0] for c in cut]])
             tokens = [firsts[c[0]] + sum(map(known.__getitem__, c[1])) for c in cut]
             yield pa.record_batch(
                 [batch.column("doc_id"), pa.array([len(x) for x in texts], pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens])], names=["doc_id", "n_bytes", "n_tokens", "over_limit"]
@@ -110,6 +114,6 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
     """doc_id, n_bytes, n_tokens, over_limit (more than ``limit`` tokens) of each row of docs."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = frequent_units(rows, frequent)
-    lengths = list(map(len, Encoder(tokenizer).many([" " + u.decode("utf-8") for u in found])))
+    lengths = list(map(Units(tokenizer, BYTES_PATTERN, lower=False, before=" ", lengths=True).__getitem__, found))
     table = docs.sparkSession.sparkContext.broadcast((found, lengths))  # ``frequent`` short entries at most
     return rows.mapInArrow(_lengths(tokenizer, table, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -1,12 +1,34 @@
-"""Encoding many short units of text with a public tokenizer, and remembering the results."""
+"""Tokenizing units of text with a public tokenizer, and remembering the results in the worker.
+
+A unit is text that the tokenizer treats apart from what surrounds it. Of units in plain letters, digits and signs (ASCII and precomposed
+Latin-1) the pre-tokens are cut here by the tokenizer's own pattern and only new pre-tokens reach its merges; any other unit, and any that
+may hold a special token, is given to the tokenizer whole. Tests hold both ways against the tokenizer over whole texts.
+"""
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable
-from itertools import filterfalse, islice
+import re
+from array import array
+from collections.abc import Callable
+
+#: Text of these characters alone has no composition, no special case mapping and no numbers but digits.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
+_SPECIAL = "<|"
+# The pre-token patterns of the two vocabularies, for plain text.
+WORDS_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+BYTES_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+")
+
 
-import numpy as np
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write for the UTF-8 bytes of each plain character and the space."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    letter = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in (32, *range(192, 256))}
+
+
+_LETTERS = _byte_letters()
 
 
 def public_path(name: str) -> str:
@@ -16,56 +38,49 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class Encoder:
-    """Ids of units that are tokenized apart from each other.
+class Units(dict):
+    """Ids (little-endian bytes) or numbers of tokens of units, learned when first asked for.
 
-    Units are encoded many at once with a special token between them, at which the tokenizer cuts its input first. Units that
-    hold the token's own text are encoded one by one.
+    Over ``most`` units all but the ``lasting`` ones are forgotten; pre-tokens are remembered apart from units.
     """
 
-    def __init__(self, name: str, between: str = "<|endoftext|>"):
+    def __init__(self, name: str, pattern: re.Pattern, lower: bool, before: str = "", lengths: bool = False, most: int = 350_000, lasting: dict | None = None):
+        super().__init__(lasting or {})
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_path(name))
-        self.between, self.cut = between, self.tokenizer.token_to_id(between)
+        self.model, self.find, self.lower, self.before, self.most, self.lasting = self.tokenizer.model, pattern.findall, lower, before, most, lasting or {}
+        self.value: Callable = len if lengths else lambda ids: array("I", ids).tobytes()
+        self.total: Callable = sum if lengths else b"".join
+        self.parts = _Parts(self, lengths)
 
-    def ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-
-    def many(self, units: list[str], at_once: int = 1000) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        for k in range(0, len(units), at_once):
-            some = units[k : k + at_once]
-            ids = self.ids(self.between.join(some))
-            cuts = np.flatnonzero(ids == self.cut)
-            if len(cuts) == len(some) - 1:
-                out += np.split(ids, cuts)[:1] + [x[1:] for x in np.split(ids, cuts)[1:]]
-            else:
-                out += [self.ids(x) for x in some]
-        return out
+    def whole(self, text: str):
+        return self.value(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def __missing__(self, unit: bytes):
+        if len(self) >= self.most + len(self.lasting):
+            self.clear()
+            self.update(self.lasting)
+        text = unit.decode("utf-8")
+        if _PLAIN(text) and _SPECIAL not in text:
+            found = self.total(map(self.parts.__getitem__, self.find(self.before + (text.lower() if self.lower else text))))
+        else:
+            found = self.whole(self.before + text)
+        self[unit] = found
+        return found
 
-class Known(dict):
-    """What is known of words, filled by ``learn`` for the words of a block; between blocks the older half may go.
 
-    lasting: entries that never go.
-    """
+class _Parts(dict):
+    """What ``Units`` knows of single pre-tokens."""
 
-    def __init__(self, learn, most: int = 300_000, lasting: dict | None = None):
-        super().__init__(lasting or {})
-        self.learn, self.most, self.lasting = learn, most, lasting or {}
+    def __init__(self, units: Units, lengths: bool):
+        super().__init__()
+        self.tokenize, self.most, self.lengths = units.model.tokenize, units.most, lengths
 
-    def take(self, words: Iterable[list[bytes]]) -> None:
-        """Learns those of a block's words that aren't known."""
-        if len(self) > self.most + len(self.lasting):
-            kept = list(islice(self.items(), (len(self) + len(self.lasting)) // 2, None))
+    def __missing__(self, part: str):
+        if len(self) >= self.most:
             self.clear()
-            self.update(self.lasting)
-            self.update(kept)
-        new: set[bytes] = set()
-        for w in words:
-            new.update(filterfalse(self.__contains__, w))
-        if new:
-            units = list(new)
-            self.update(zip(units, self.learn(units), strict=True))
+        got = self.tokenize(part.translate(_LETTERS))
+        self[part] = found = len(got) if self.lengths else array("I", [t.id for t in got]).tobytes()
+        return found
