@@ -13,6 +13,7 @@ from lodestar.llm.near_dedup import near_dedup
 from lodestar.llm.packing import pack_documents
 from lodestar.llm.quality import quality
 from lodestar.llm.substring_dedup import substring_dedup
+from lodestar.llm.telephony import text_as_audio
 from lodestar.llm.token_count import token_counts
 from lodestar.llm.toxicity import toxicity
 
@@ -93,8 +94,13 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(documents(spark, sf_dir))
 
 
+def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as telephony audio, read back, expanded and resampled."""
+    return text_as_audio(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_token_counts, op4_packing, op5_exact_dedup, op6_toxicity, op7_mixing, op8_quality, op9_near_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_token_counts, op4_packing, op5_exact_dedup, op6_toxicity, op7_mixing, op8_quality, op9_near_dedup, op10_telephony)}
 
 
 def oracle_sql() -> dict[str, str]:
