@@ -11,6 +11,7 @@ from lodestar.llm.exact_dedup import exact_dedup
 from lodestar.llm.mixing import mix_sources
 from lodestar.llm.near_dedup import near_dedup
 from lodestar.llm.packing import pack_documents
+from lodestar.llm.pii import replace_pii
 from lodestar.llm.quality import quality
 from lodestar.llm.substring_dedup import substring_dedup
 from lodestar.llm.telephony import text_as_audio
@@ -34,6 +35,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir), length=20, first=10)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with the personal data in it replaced by surrogates."""
+    return replace_pii(documents(spark, sf_dir))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and byte-level BPE tokens of every text, and whether it has over 512 tokens."""
     return token_counts(documents(spark, sf_dir), tokenizer="byte_bpe_50k.json", limit=512)
@@ -100,7 +106,7 @@ def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_token_counts, op4_packing, op5_exact_dedup, op6_toxicity, op7_mixing, op8_quality, op9_near_dedup, op10_telephony)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_pii, op3_token_counts, op4_packing, op5_exact_dedup, op6_toxicity, op7_mixing, op8_quality, op9_near_dedup, op10_telephony)}
 
 
 def oracle_sql() -> dict[str, str]:
