@@ -1,0 +1 @@
+"""Record linkage and training-data preparation on Spark."""
