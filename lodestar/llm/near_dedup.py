@@ -7,9 +7,10 @@ over every document: its size is fixed, so it can go to all tasks, and its error
 1. One pass counts the sketch; the partial sketches are merged in a tree of tasks.
 2. One pass samples ``bands`` x ``rows`` times per text and keeps the band keys and a digest of the words. Texts of equal words are
    copies: only the one with the least id goes on, so that a large group of copies costs one row.
-3. In each bucket of a band all members are compared with one center, the least id; those that aren't similar stay behind with a
-   center of their own, until each bucket is settled; when few are left in a bucket, all pairs of them are compared. The links
-   compared are as many as members, not pairs, also in a bucket with thousands of near copies.
+3. In a bucket of few all pairs are compared. In a crowded bucket all members are compared with one center, the member that shares
+   most buckets with others. Members that are similar to each other but not to the center must agree in what tells them from it,
+   so they are sampled again over that difference alone, and the buckets of these samples are the next level, with one sample more
+   in each key than in the last, until no bucket has a pair that isn't settled. Comparisons are as many as members, not pairs, also in a bucket with thousands of near copies.
 4. Links of similarity ``threshold`` or more join documents into classes.
 
 Bucket joins are on (band key), whose grouped minimum is combined before the shuffle; texts are only shuffled for documents that
@@ -37,7 +38,10 @@ from lodestar.llm.components import components
 
 #: Counters in each of the two rows of the document-frequency sketch.
 WIDTH = 1 << 18
-_DRAWS = 1 << 16
+_DRAW_BITS = 14
+_DRAWS = 1 << _DRAW_BITS
+#: Keys from what tells a document from its center, and the share of added weight below which what it lacks counts instead.
+_APART, _ADDED = 64, 0.05
 _EDGES = b"!?.,;:\"'`()[]{}<>*#$%&|~^_+-=/\\@"
 
 
@@ -112,25 +116,33 @@ def _weights(u: np.ndarray, n: np.ndarray, table: np.ndarray) -> np.ndarray:
     return n * np.maximum(table[a], table[b])
 
 
-@lru_cache(maxsize=1)
-def _draws(samples: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """r, 1 / r, log c and beta for each draw, and an odd multiplier for each sample."""
+@lru_cache(maxsize=16)
+def _draws(samples: int, seed: int) -> tuple[np.ndarray, ...]:
+    """For each draw r, 1 / r, log c + r beta - r and beta; an odd multiplier for each sample."""
     rng = np.random.default_rng(seed)
     r, c, beta = rng.gamma(2, 1, _DRAWS), rng.gamma(2, 1, _DRAWS), rng.random(_DRAWS)
-    return np.column_stack([r, 1 / r, np.log(c), beta]).astype(np.float32), rng.integers(0, 2**63, samples, np.uint64) * np.uint64(2) + np.uint64(1)
+    odd = rng.integers(0, 2**63, samples, np.uint64) * np.uint64(2) + np.uint64(1)
+    return *(x.astype(np.float32) for x in (r, 1 / r, np.log(c) + r * beta - r, beta)), odd
 
 
-def sample(u: np.ndarray, w: np.ndarray, samples: int, seed: int = 1, at_once: int = 4096) -> np.ndarray:
-    """Hashes of consistent weighted samples of the shingles u with weights w: two sets agree in one with the probability of their weighted Jaccard similarity."""
-    draws, odd = _draws(samples, seed)
-    log_w, best, out = np.log(w).astype(np.float32), np.full(samples, np.inf, np.float32), np.zeros(samples, np.uint64)
-    rows = np.arange(samples)
+def sample(u: np.ndarray, w: np.ndarray, samples: int, seed: int = 1, at_once: int = 2048) -> np.ndarray:
+    """Hashes of consistent weighted samples of the sorted shingles u with weights w.
+
+    Two sets agree in one with the probability of their weighted Jaccard similarity: log a = log c - r (t - beta) - r with
+    t = floor(log w / r + beta), and the shingle with the least a is drawn, with its t.
+    """
+    r, inverse, constant, beta, odd = _draws(samples, seed)
+    log_w, best, out, rows = np.log(w).astype(np.float32), np.full(samples, np.inf, np.float32), np.zeros(samples, np.uint64), np.arange(samples)
     for k in range(0, len(u), at_once):
         part = u[k : k + at_once]
-        d = draws[((part[None, :] * odd[:, None]) >> np.uint64(48)).astype(np.int64)]
-        r, beta = d[..., 0], d[..., 3]
-        t = np.floor(log_w[None, k : k + at_once] * d[..., 1] + beta)
-        a = d[..., 2] - r * (t - beta + 1)
+        draw = (np.multiply.outer(odd, part) >> np.uint64(64 - _DRAW_BITS)).view(np.int64)
+        t = inverse.take(draw)
+        t *= log_w[k : k + at_once]
+        t += beta.take(draw)
+        np.floor(t, out=t)
+        a = r.take(draw)
+        a *= t
+        np.subtract(constant.take(draw), a, out=a)
         at = a.argmin(1)
         least = a[rows, at]
         better = least < best
@@ -176,7 +188,28 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return least / most if most else 0.0
 
 
-def _verified(size: int, threshold: float, table):
+def apart(a: tuple[np.ndarray, np.ndarray], c: tuple[np.ndarray, np.ndarray], rows: int) -> np.ndarray:
+    """Keys of ``rows`` samples each for a from what tells it from c: what it adds, or, if that is next to nothing, what it lacks.
+
+    Documents that only have c in common add little in common; documents that are similar to each other but not to c share
+    additions or gaps. Gaps overlap more by chance, so that one sample more makes a key there.
+    """
+    added = ~np.isin(a[0], c[0], assume_unique=True)
+    plus = a[1][added].sum() >= _ADDED * a[1].sum()
+    u, w = (a[0][added], a[1][added]) if plus else (x[~np.isin(c[0], a[0], assume_unique=True)] for x in c)
+    if not len(u):
+        return u
+    rows += not plus
+    s = sample(u, w, rows * _APART, 2 + rows).reshape(_APART, rows)
+    k = np.arange(1, _APART + 1, dtype=np.uint64)
+    for j in range(rows):
+        k = mix(k + s[:, j])
+    return k
+
+
+def _compared(size: int, threshold: float, table, level: int):
+    """Whether each document is similar to its center, and, for crowded buckets, its keys for the next level."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, weights, z, last = _Words(), table.value, zstandard.ZstdDecompressor(), (None, None)
 
@@ -185,40 +218,52 @@ def _verified(size: int, threshold: float, table):
             return u, _weights(u, n, weights)
 
         for batch in blocks(batches, 1 << 20):
-            near = []
-            for a, b in zip(batch.column("packed").to_pylist(), batch.column("center_packed").to_pylist(), strict=True):
+            near, keys = [], []
+            for a, b, center, crowded in zip(*(batch.column(c).to_pylist() for c in ("packed", "center_packed", "center", "crowded")), strict=True):
                 if last[0] != b:
                     last = (b, read(b))
-                near.append(similarity(read(a), last[1]) >= threshold)
-            yield pa.record_batch([batch.column("id"), batch.column("center")], names=["id", "center"]).filter(pa.array(near))
+                one = read(a)
+                near.append(similarity(one, last[1]) >= threshold)
+                keys.append(mix(apart(one, last[1], level + 1) + np.uint64(center & (2**64 - 1))).view(np.int64) if crowded else None)
+            yield pa.record_batch([batch.column("id"), batch.column("center"), pa.array(near, pa.bool_()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "center", "near", "keys"])
 
     return run
 
 
-def _links(texts: DataFrame, members: DataFrame, size: int, threshold: float, table, few: int = 12) -> DataFrame | None:
-    """Verified (id, center) of all buckets. members: key, id; every key has two ids or more."""
+def _shared(members: DataFrame) -> DataFrame:
+    """The members (key, id, far) of buckets of two or more that aren't known to be one class: one of them at least is far."""
+    of_key = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("some")).where("n > 1 and some").select("key", "n")
+    return materialize(members.join(of_key, "key"), "members")
+
+
+def _links(texts: DataFrame, members: DataFrame, size: int, threshold: float, table, few: int = 8, most_broadcast: int = 1_000_000) -> DataFrame:
+    """Verified (id, center) of all buckets. members: key, id, n (the members of the bucket, two or more), far (not known to be in one class with the other members that aren't)."""
     wanted = members.select("id").distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= most_broadcast else wanted  # 8 bytes a row
     packed = materialize(texts.mapInArrow(_packed, "id long, packed binary").join(wanted, "id", "left_semi"), "texts")
-    found, left = None, members
+    done, level = None, 0
     while True:
-        of_key = left.groupBy("key").agg(F.min("id").alias("center"), F.count(F.lit(1)).alias("n"))
-        marked = left.join(of_key, "key")
-        pairs = marked.where("id > center").select("id", "center")
+        level += 1
+        # a crowded bucket: all against the member that shares most buckets with others, which is what most are copies of
+        crowd = members.where(F.col("n") > few)
+        ranked = crowd.join(crowd.groupBy("id").agg(F.sum("n").alias("known")), "id")
+        centers = ranked.groupBy("key").agg(F.max(F.struct("known", "id", "far")).alias("c")).select("key", F.col("c.id").alias("center"), F.col("c.far").alias("far_center"))
+        pairs = crowd.join(centers, "key").where("id <> center and (far or far_center)").select("id", "center", F.lit(True).alias("crowded"))
         # a bucket of few: all its pairs, at most few for each member
-        small = marked.where(F.col("n").between(3, few)).select("key", "id")
-        others = small.groupBy("key").agg(F.collect_list("id").alias("ids"))
-        pairs = pairs.unionByName(small.join(others, "key").select("id", F.explode("ids").alias("center")).where("id > center"))
-        pairs = pairs.distinct()
-        if found is not None:
-            pairs = pairs.join(found, ["id", "center"], "left_anti")
+        small = members.where(F.col("n") <= few)
+        others = small.groupBy("key").agg(F.collect_list(F.struct("id", "far")).alias("others"))
+        each = small.join(others, "key").select("id", "far", F.explode("others").alias("o")).where("id > o.id and (far or o.far)").select("id", F.col("o.id").alias("center"), F.lit(False).alias("crowded"))
+        pairs = pairs.unionByName(each).groupBy("id", "center").agg(F.max("crowded").alias("crowded"))
+        if done is not None:
+            seen = done.select("id", "center").unionByName(done.select(F.col("center").alias("id"), F.col("id").alias("center")))
+            pairs = pairs.join(seen, ["id", "center"], "left_anti")
         texts_of = pairs.join(packed, "id").join(packed.select(F.col("id").alias("center"), F.col("packed").alias("center_packed")), "center")
-        near = texts_of.select("id", "center", "packed", "center_packed").mapInArrow(_verified(size, threshold, table), "id long, center long")
-        now = materialize(near if found is None else near.unionByName(found), "near")
-        found = now
-        left = materialize(marked.where(F.col("n") > few).where("id > center").join(now, ["id", "center"], "left_anti").select("key", "id"), "left")
-        left = left.join(left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "key", "left_semi")
-        if left.isEmpty():
-            return found
+        found = materialize(texts_of.select("id", "center", "crowded", "packed", "center_packed").mapInArrow(_compared(size, threshold, table, level), "id long, center long, near boolean, keys array<bigint>"), "compared")
+        judged = found.select("id", "center", "near")
+        done = judged if done is None else done.unionByName(judged)
+        members = _shared(found.select("id", (~F.col("near")).alias("far"), F.explode("keys").alias("key")).distinct())
+        if members.isEmpty():
+            return done.where("near").select("id", "center")
 
 
 def near_dedup(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, bands: int = 10, rows: int = 3) -> DataFrame:
@@ -229,8 +274,7 @@ def near_dedup(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, bands:
     firsts = signed.groupBy("digest").agg(F.min("id").alias("first"))
     alone = signed.join(firsts.withColumnRenamed("first", "id"), ["digest", "id"], "left_semi")
     keyed = alone.select("id", F.explode("keys").alias("key")).distinct()
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    members = materialize(keyed.join(shared, "key").select("key", "id"), "members")
+    members = _shared(keyed.withColumn("far", F.lit(True)))
     roots = components(_links(texts, members, shingle, threshold, table).select(F.col("id").alias("a"), F.col("center").alias("b")))
     classes = signed.select("id", "digest").join(firsts, "digest").join(roots.withColumnRenamed("node", "first"), "first", "left").select("id", F.coalesce("root", "first").alias("class"))
     return classes.select(doc_id_of(), F.when(F.col("class") == NULL_ID, F.lit(None).cast("long")).otherwise(F.col("class")).alias("class_id"))
