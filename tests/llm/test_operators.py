@@ -1,0 +1,348 @@
+"""Each operator against a plain version over whole texts, with nulls, empty and very long texts, ties, repeated rows and other columns."""
+
+import hashlib
+import io
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lodestar.llm import exact_dedup, mixing, near_dedup, packing, pii, quality, substring_dedup, telephony, token_count, toxicity
+from lodestar.llm.boosting import BoostedTrees, Isotonic
+from lodestar.llm.tokens import public_path
+
+DATA = "/root/testdata/sf0.001"
+SPACE = " \t\n\x0b\x0c\r"
+LONG = " ".join(f"w{i % 1777}" for i in range(30_000))
+ODD = [
+    (1, "", "a"), (2, None, "b"), (3, " \t\n", None), (4, LONG, "b"), (5, LONG.replace(" ", "\n"), "b"), (6, "x " * 50, "a"), (7, "x", "a"), (7, "x", "a"), (8, "Ünï © 日本語 ́   z", ""), (9, "a  b   c\t\td ", "b"),
+    (None, "null id", "a"), (-5, "negative id", "a"), (10, "<|endoftext|> and <|startoftext|>", "b"), (11, "q" * 40_000, "b"), (12, "İstanbul ΣΑΣ ﬁ don't we'll 123", "a"),
+]
+
+
+def table(spark, rows, clash=True):
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    extra = {"id": F.lit("clash"), "key": F.lit(1), "leader": F.lit(2), "h": F.lit(None).cast("string"), "size": F.lit(0.5), "score": F.lit("x"), "n": F.lit(3)}
+    return df.withColumns(extra) if clash else df
+
+
+def words(x):
+    return [w for w in re.split("[ \t-\r]+", x or "") if w]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    d = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "source")
+    return table(spark, [tuple(r) for r in d.collect()] + [(10**6 + (i or 0), t, s) for i, t, s in ODD if i != 7] + [(None, "null id", "a")])
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return [(r.doc_id, r.text, r.source) for r in docs.collect()]
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+def key(i):
+    return -(2**63) if i is None else i
+
+
+def test_substring_dedup(docs, rows, empty):
+    seen, want = set(), {}
+    for i, x, _ in sorted(rows, key=lambda r: key(r[0])):
+        w = words(x)
+        gone = [False] * len(w)
+        for s in range(len(w) - 19):
+            k = tuple(w[s : s + 20])
+            if k in seen:
+                gone[s : s + 20] = [True] * 20
+            seen.add(k)
+        want[i] = (len(w), sum(gone), hashlib.sha256(" ".join(a for a, g in zip(w, gone, strict=True) if not g).encode()).hexdigest())
+    got = substring_dedup.substring_dedup(docs).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in got} == want and len(got) == len(want)
+    assert substring_dedup.substring_dedup(empty).count() == 0
+    deeper = substring_dedup.substring_dedup(docs, first=5).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in deeper} == want
+    with pytest.raises(ValueError):
+        substring_dedup.substring_dedup(docs, length=20, first=7)
+
+
+def test_rows_that_share_an_id_are_one_document(spark):
+    text = " ".join(map(str, range(40)))
+    got = substring_dedup.substring_dedup(table(spark, [(1, text, "a"), (1, text, "a"), (2, text, "a")])).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0), (1, 0), (2, 40)]
+
+
+def test_pii(spark, docs, empty):
+    lines = [
+        (1, "Write to bob.s42@corp-mail.co.uk or Bob.S42@corp-mail.co.uk, call +1 (988) 555-2485 or 988-555-2485.", "a"),
+        (2, "card 4111 1111 1111 1111, 4111111111111111 at 42.144.35.254, ssn 123-45-6789, password=b7db7aa4a5fcc78305", "a"),
+        (3, "Mrs Anna Kovacs met Mr. John Smith; Ms Anna Kovacs and господин Иван Петров left.", "a"),
+        (4, "again 4111111111111111 and bob.s42@corp-mail.co.uk", "a"),
+        (5, "version 2.0. of 1999, nothing else", "a"),
+        (6, None, "a"),
+        (7, "", "a"),
+    ]
+    got = {r.doc_id: r for r in pii.replace_pii(table(spark, lines)).collect()}
+    for i, x, _ in lines:
+        for secret in ("bob.s42", "Bob.S42", "988", "4111", "42.144.35.254", "123-45", "b7db7aa4", "Kovacs", "Smith", "Иван"):
+            assert x is None or secret not in x or secret not in got[i].text
+    mails = re.findall(r"\S+@[\w.-]+\w", got[1].text + " " + got[4].text)
+    assert len({m.lower() for m in mails}) == 1
+    a, b = re.findall(r"\(?\d{3}\)?[ -]\d{3}-\d{4}", got[1].text)
+    assert re.sub(r"\D", "", a)[-10:] == re.sub(r"\D", "", b)
+    c1, c2 = re.search(r"card (.{19}), (\d{16})", got[2].text).groups()
+    assert c1.replace(" ", "") == c2 and c2 in got[4].text and c2[0] == "4"
+    digits = [int(x) for x in reversed(c2)]
+    assert sum(d if k % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for k, d in enumerate(digits)) % 10 == 0
+    names = re.match(r"Mrs (\S+ \S+) met Mr\. (\S+ \S+); Ms (\S+ \S+) and господин ([а-яА-Я]+ [а-яА-Я]+) left\.$", got[3].text)
+    assert names and names[1] == names[3] != names[2]
+    assert got[5].text == lines[4][1] and got[6].text is None and got[7].text == "" and got[5].n_entities == 0
+    assert pii.replace_pii(empty).count() == 0
+    whole = pii.replace_pii(docs)
+    assert whole.count() == docs.count()
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_pii_surrogates_stay_distinct(spark):
+    many = table(spark, [(i, f"at {1 + i // 81}.{1 + i // 9 % 9}.{1 + i % 9}.9 now", "a") for i in range(729)])
+    found = pii.resolved(pii.entities(many), "k").collect()
+    assert len({r.new for r in found}) == len(found) == 729
+    assert not {r.new for r in found} & {r.body for r in found}
+    assert any(r.attempt > 0 for r in found)
+
+
+def test_token_counts(docs, rows, empty):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_path("byte_bpe_50k.json"))
+    want = Counter((i, len((x or "").encode()), len(t.encode(x or "", add_special_tokens=False).ids)) for i, x, _ in rows)
+    got = token_count.token_counts(docs).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in got) == want
+    assert all(r.over_limit == (r.n_tokens > 512) for r in got)
+    assert token_count.token_counts(empty).count() == 0
+
+
+@pytest.mark.parametrize("text", ["", " ", "  a", "a ", "a  b", "a   b", "a \n b", "a  b", "a 　b", "\x1ca \x1cb", "a<|endoftext|> b", "'s 's a's", "1 2  3é"])
+def test_units_add_up(text):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_path("byte_bpe_50k.json"))
+    n = lambda s: len(t.encode(s, add_special_tokens=False).ids)
+    first, rest = token_count.units(text.encode())
+    assert n(first.decode()) + sum(n(" " + u.decode()) for u in rest) == n(text)
+
+
+def test_packing(docs, rows, empty):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_path("word_bpe_49k.json"))
+    want = Counter()
+    for i, x, _ in rows:
+        ids = np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4")
+        want.update((i, k // 4096, k, len(ids[k : k + 4096]), zlib.crc32(ids[k : k + 4096].tobytes())) for k in range(0, len(ids), 4096))
+    got = packing.pack_documents(docs).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    by = defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append((r.offset, r.length))
+    for pieces in by.values():
+        end = 0
+        for at, n in sorted(pieces):
+            assert at == end
+            end += n
+        assert end <= 4096
+    assert len(by) <= -(-sum(r.length for r in got) // 4096) * 1.02 + 1
+    assert packing.pack_documents(empty).count() == 0
+
+
+def test_bins_close_the_fullest():
+    b = packing.Bins(10, 2)
+    assert [b.put(n) for n in (6, 7, 3, 8, 4, 2)] == [(0, 0), (1, 0), (1, 7), (2, 0), (0, 6), (2, 8)]
+    b = packing.Bins(10, 2)
+    assert [b.put(n) for n in (6, 7, 8, 3, 4)] == [(0, 0), (1, 0), (2, 0), (0, 6), (3, 0)]
+
+
+def test_exact_dedup(docs, rows, empty):
+    groups = defaultdict(list)
+    for i, x, _ in rows:
+        groups["".join(c for c in x or "" if c not in SPACE)].append((-len(x or ""), key(i), i))
+    want = Counter((i, min(g)[2], len(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for _, _, i in g)
+    for capacity in (32 << 20, 500):
+        got = exact_dedup.exact_dedup(docs, capacity).collect()
+        assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == want
+        assert sum(r.kept for r in got) == len(groups)
+    assert exact_dedup.exact_dedup(empty).count() == 0
+    kept = exact_dedup.keep_one(docs)
+    assert kept.columns == docs.columns and kept.count() == len(groups)
+
+
+def test_equal_keys_are_told_apart_by_bytes():
+    import pyarrow as pa
+    import zstandard
+
+    z = zstandard.ZstdCompressor()
+    texts = [b"one", b"two", b"one"]
+    batch = pa.record_batch({"bucket": [0] * 3, "key": [5] * 3, "leader": [1, 2, 3], "packed": [z.compress(t) for t in texts], "n": [1, 1, 4], "chars": [3, 3, 9], "best_id": [1, 2, 3], "best_row": [1, 2, 3]})
+    out = [r for b in exact_dedup._chained(iter([batch])) for r in b.to_pylist()]
+    assert sorted((r["leader"], r["keep_id"], r["group_size"]) for r in out) == [(1, 3, 5), (2, 2, 1), (3, 3, 5)]
+
+
+def held(df, labels, column, spark):
+    r = df.where("held_out").join(labels, "doc_id").select("score", column).collect()
+    y, s = np.array([x[1] for x in r]), np.array([x[0] for x in r])
+    order = np.argsort(np.argsort(s, kind="stable")) + 1
+    ones = y.sum()
+    return (order[y == 1].sum() - ones * (ones + 1) / 2) / (ones * (len(y) - ones)), ((s >= (0.5 if column == "toxic" else 0.7)) == (y == 1)).mean()
+
+
+def test_classifiers_on_held_out_labels(spark):
+    d, lab = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    auc, right = held(toxicity.toxicity(d, lab), lab, "toxic", spark)
+    assert auc > 0.95 and right > 0.95
+    auc, right = held(quality.quality(d, lab), lab, "quality", spark)
+    assert auc > 0.95 and right > 0.95
+
+
+def test_classifiers_on_odd_tables(spark, docs, empty):
+    lab = spark.createDataFrame([(None, 1, 1), (1, None, None), (1, 7, 7)], "doc_id long, quality int, toxic int")
+    for f in (toxicity.toxicity, quality.quality):
+        got = f(docs, lab).collect()
+        assert len(got) == docs.count() and {r.score for r in got} == {0.0} and {r.predicted for r in got} == {0}
+        assert f(empty, lab).count() == 0
+    real = spark.read.parquet(f"{DATA}/labels.parquet")
+    assert toxicity.drop_toxic(docs, docs, real).columns == docs.columns
+    assert all(0 <= r.score <= 1 for f in (toxicity.toxicity, quality.quality) for r in f(docs, real.unionByName(real)).collect())
+
+
+def test_trees_and_calibration():
+    rng = np.random.default_rng(1)
+    x = rng.random((800, 3))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
+    assert (((BoostedTrees(trees=40).fit(x, y).margin(x) > 0) == (y == 1)).mean()) > 0.97
+    iso = Isotonic().fit(np.array([1.0, 2, 3, 4, 4]), np.array([0.0, 1, 0, 1, 0]))
+    at = iso(np.linspace(0, 5, 50))
+    assert (np.diff(at) >= 0).all() and iso(np.array([2.5]))[0] == pytest.approx(0.5)
+
+
+def test_mixing(docs, rows, empty):
+    got = mixing.mix_sources(docs, carry=("source",)).collect()
+    sizes = defaultdict(int)
+    for _, x, s in rows:
+        sizes[s] += len(words(x))
+    names = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
+    weight, cap, left, target, total = {s: k % 3 + 1 for k, s in enumerate(names)}, {s: 3 * sizes[s] for s in names}, set(names), {}, sum(sizes.values())
+    while True:
+        level = (total - sum(target.values())) / sum(weight[s] for s in left)
+        over = {s for s in left if weight[s] * level > cap[s]}
+        if not over:
+            break
+        target |= {s: cap[s] for s in over}
+        left -= over
+    target |= {s: weight[s] * level for s in left}
+    assert sum(r.size for r in got) == total
+    for s in names:
+        own = [r for r in got if r.source == s]
+        assert {round(r.target - target[s], 3) for r in own} == {0} and {r.source_size for r in own} == {sizes[s]}
+        assert abs(sum(r.taken for r in own) - target[s]) <= max(r.size for r in own)
+    assert all(r.taken <= 3 * r.size for r in got)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix_sources(docs.repartition(5), carry=("source",)).collect()))
+    assert mixing.mix_sources(empty).count() == 0
+    again = mixing.repeat_rows(docs)
+    assert again.columns == docs.columns and again.count() == sum(r.times for r in got)
+    assert not re.search("Python|Pandas|Arrow", mixing.mix_sources(docs)._jdf.queryExecution().executedPlan().toString())
+
+
+def test_near_dedup(spark, docs, rows, empty):
+    rng = np.random.default_rng(3)
+    base = [f"tok{rng.integers(5000)}" for _ in range(300)]
+    group = []
+    for i in range(60):
+        w = list(base)
+        for k in rng.choice(300, 2, replace=False):
+            w[k] = f"new{i}x{k}"
+        group.append((5_000_000 + i, " ".join(w), "g"))
+    far = list(base)
+    for k in range(0, 300, 6):
+        far[k] = f"far{k}"
+    group.append((6_000_000, " ".join(far), "g"))
+    got = {r.doc_id: r.class_id for r in near_dedup.near_dedup(docs.select("doc_id", "text", "source").unionByName(table(spark, group, False))).collect()}
+    assert {got[i] for i, _, _ in group[:-1]} == {5_000_000} and got[6_000_000] == 6_000_000
+    sets = {}
+    for i, x, _ in rows:
+        w = [v for v in (v.strip("!?.,;:\"'`()[]{}<>*#$%&|~^_+-=/\\@").lower() for v in words(x)) if v]
+        sets[i] = Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
+    where = defaultdict(set)
+    for i, s in sets.items():
+        for k in s:
+            where[k].add(i)
+    for i, s in sets.items():
+        for j in set().union(*(where[k] for k in s)) - {i}:
+            both, either = sum((s & sets[j]).values()), sum((s | sets[j]).values())
+            if both / either >= 0.87:
+                assert got[i] == got[j]
+            near = both / either >= 0.72
+            if not near and got[i] == got[j]:
+                # joined through others only
+                assert sum(c == got[i] for c in got.values()) > 2
+    assert near_dedup.near_dedup(empty).count() == 0
+    assert near_dedup.keep_one(docs).columns == docs.columns
+
+
+def test_consistent_sampling_estimates_similarity():
+    rng = np.random.default_rng(5)
+    u = np.sort(rng.integers(0, 2**63, 400, np.uint64))
+    a, b = (u[:320], np.ones(320)), (u[80:], np.ones(320))
+    agree = (near_dedup.sample(*a, 2000) == near_dedup.sample(*b, 2000)).mean()
+    assert agree == pytest.approx(near_dedup.similarity(a, b), abs=0.05)
+
+
+def test_telephony_round_trip(docs, rows, empty):
+    got = {r.doc_id: r for r in telephony.text_as_audio(docs).collect()}
+    for i, x, _ in rows:
+        raw = (x or "").encode()
+        padded = raw + b"\0" * ((-len(raw)) % 64 if raw else 64)
+        r = got[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        media = telephony.store(padded)
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest()) and telephony.payload_of(media) == padded
+    assert telephony.text_as_audio(empty).count() == 0
+
+
+def test_codecs(spark):
+    assert telephony._EXPAND[telephony.MULAW][[0, 127, 128, 255]].tolist() == [-32124, 0, 32124, 0]
+    assert telephony._EXPAND[telephony.ALAW][[0xD5, 0x55, 0x2A, 0xAA]].tolist() == [8, -8, -32256, 32256]
+    rng = np.random.default_rng(2)
+    blocks = rng.integers(0, 256, (5, 12), np.uint8)
+    blocks[:, 2] %= 89
+    fast = telephony.decode_adpcm(blocks)
+    for row, out in zip(blocks, fast, strict=True):
+        now, place = int(np.frombuffer(row[:2].tobytes(), "<i2")[0]), int(row[2])
+        want = [now]
+        for byte in row[4:]:
+            for code in (int(byte) & 15, int(byte) >> 4):
+                step = int(telephony._STEPS[place])
+                change = (step >> 3) + (step >> 2) * (code & 1) + (step >> 1) * (code >> 1 & 1) + step * (code >> 2 & 1)
+                now = max(-32768, min(32767, now - change if code & 8 else now + change))
+                place = max(0, min(88, place + int(telephony._MOVES[code & 7])))
+                want.append(now)
+        assert out.tolist() == want
+    tone = (8000 * np.sin(np.arange(800) * 2 * np.pi * 300 / 8000)).astype(np.int16)
+    up = telephony.resample(tone, 8000, 16000)
+    assert len(up) == 1600 and np.abs(up[::2][8:-8].astype(int) - tone[8:-8]).max() < 400
+    assert len(telephony.resample(tone, 8000, 11025)) == -(-800 * 441 // 320) and telephony.resample(tone[:0], 8000, 16000).size == 0
+    with pytest.raises(ValueError):
+        telephony.parse(b"nothing")
+    media = telephony.wave(telephony.MULAW, 8000, 1, bytes(range(256)))
+    df = spark.createDataFrame([(1, bytearray(media)), (2, None)], "k int, media binary")
+    out = {r.k: r.pcm for r in telephony.to_pcm(df).collect()}
+    kind, rate, unit, data = telephony.parse(bytes(out[1]))
+    assert (kind, rate, unit, len(data)) == (telephony.PCM, 16000, 2, 1024) and out[2] is None
+    assert io.BytesIO(out[1]).read(4) == b"RIFF"
