@@ -51,8 +51,14 @@ def water_filling(sources: DataFrame, epochs: float = 3.0) -> DataFrame:
     return found.withColumn("target", F.round(F.least(epochs * F.col("source_size"), F.col("weight") * F.coalesce("at.level", F.lit(0.0))), 6)).select(*sources.columns, "target")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: float = 3.0, seed: int = 42, slices: int = 4096, most_broadcast: int = 50_000, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, taken (and times) of each row of docs; carry: further columns of docs to keep.
+def mix_sources(docs: DataFrame, carry: tuple[str, ...] = (), **options) -> DataFrame:
+    """doc_id, size, source_size, target, taken and times of each row of docs; carry: further columns of docs, other than these. Options: see ``_mixed``."""
+    found = _mixed(docs, carry=carry, **options)
+    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times", *(F.col(f"_carry_{c}").alias(c) for c in carry))
+
+
+def _mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: float = 3.0, seed: int = 42, slices: int = 4096, most_broadcast: int = 50_000, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, times, and _carry_... for each column to carry.
 
     Sources in order of code points, null last, weigh weights[0], weights[1], ... and so on around.
     """
@@ -89,11 +95,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: f
     exact = marked.where(inside).withColumn("more", (F.col("before") + running <= F.col("spare")) & (F.col("spare") > 0))
     both = plain.select(*own, "more").unionByName(exact.select(*own, "more"))
     times = F.col("whole") + F.when(F.col("more"), 1).otherwise(0)
-    return both.select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"), *(F.col(f"_carry_{c}").alias(c) for c in carry))
+    return both.select("doc_id", "size", "source_size", "target", times.alias("times"), *(f"_carry_{c}" for c in carry))
 
 
 def repeat_rows(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with all their columns."""
     others = tuple(c for c in docs.columns if c != "doc_id")
-    mixed = mix_sources(docs, carry=others, **options).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))))
-    return mixed.select(*docs.columns)
+    repeated = _mixed(docs, carry=others, **options).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))))
+    return repeated.select(*(F.col("doc_id" if c == "doc_id" else f"_carry_{c}").alias(c) for c in docs.columns))
