@@ -1,6 +1,6 @@
 """Best-fit packing of tokenized documents into sequences of fixed length.
 
-Tokenizing is one narrow pass: the tokenizer drops white space and no token spans it, so each run of other characters is encoded
+Tokenizing is one narrow pass: the tokenizer drops white space and no token spans it, so each pre-token is merged
 once per worker and remembered. Only numbers go on: a row for each piece of a document, written to the shared folder.
 
 Pieces are dealt out evenly by a hash to shards of about ``shard`` pieces (their number follows the input, their size doesn't), and each
@@ -33,7 +33,7 @@ _DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 @lru_cache(maxsize=1)
 def _known(name: str) -> Units:
     """Kept by the worker from task to task."""
-    return Units(name, WORDS_PATTERN, lower=True)
+    return Units(name, WORDS_PATTERN, lower=True, most=500_000)
 
 
 def _pieces(name: str, length: int, end: int):
@@ -42,10 +42,10 @@ def _pieces(name: str, length: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _known(name)
         for batch in blocks(batches, 2 << 20):
-            words = [x.split() for x in as_bytes(batch.column("text"))]
+            texts = as_bytes(batch.column("text"))
             rows = []
-            for i, w in zip(batch.column("doc_id").to_pylist(), words, strict=True):
-                ids = b"".join(map(known.__getitem__, w)) + last
+            for i, x in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
+                ids = known.whole_text(x) + last
                 for k in range(0, len(ids), 4 * length):
                     part = ids[k : k + 4 * length]
                     rows.append((i, k // (4 * length), k // 4, len(part) // 4, zlib.crc32(part)))

@@ -9,14 +9,19 @@ from __future__ import annotations
 
 import os
 import re
+import string
 from array import array
 from collections.abc import Callable
 
 #: Text of these characters alone has no composition, no special case mapping and no numbers but digits.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
+_PLAIN_TEXT = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*").fullmatch
 _SPECIAL = "<|"
+_SIGNS = string.punctuation
 # The pre-token patterns of the two vocabularies, for plain text.
 WORDS_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+#: The first of them for lower-case plain text of any length, white space included.
+_TEXT_PATTERN = re.compile("[a-zß-öø-ÿ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[!-/:-@\\[-`{-~]+").findall
 BYTES_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+")
 
 
@@ -64,13 +69,28 @@ class Units(dict):
             self.update(self.lasting)
         text = unit.decode("utf-8")
         if _PLAIN(text) and _SPECIAL not in text:
-            found = self.total(map(self.parts.__getitem__, self.find(self.before + (text.lower() if self.lower else text))))
+            text = text.lower() if self.lower else text
+            word = text.rstrip(_SIGNS)
+            if word.isalpha():  # letters, then signs or nothing: the most common shapes, two pre-tokens at most
+                found = self.parts[self.before + word]
+                if len(word) < len(text):
+                    found += self.parts[text[len(word) :]]
+            else:
+                found = self.total(map(self.parts.__getitem__, self.find(self.before + text)))
         else:
             found = self.whole(self.before + text)
         self[unit] = found
         return found
 
 
+    def whole_text(self, text: bytes):
+        """What ``WORDS_PATTERN`` and lower case make of a whole text; white space stands between units of such a vocabulary."""
+        plain = text.decode("utf-8")
+        if _PLAIN_TEXT(plain) and _SPECIAL not in plain:
+            return self.total(map(self.parts.__getitem__, _TEXT_PATTERN(plain.lower())))
+        return self.total(map(self.__getitem__, text.split()))
+
+
 class _Parts(dict):
     """What ``Units`` knows of single pre-tokens."""
 
