@@ -32,7 +32,8 @@ SECOND_PERSON = frozenset("you your yours yourself u ur tu te toi ton ta tes vou
 _EDGES = "!?.,;:\"'`´()[]{}<>*#$%&|~^_+-=/\\@…“”„«»¿¡"
 #: Signs that stand in for letters.
 _LOOKS = str.maketrans("013457@$!|", "oieastasil")
-_PLAIN, _SECOND, _MILD, _STRONG, _HIDDEN = range(5)
+#: What a word is to the features; lexicon entries by weight: mild, strong from 2, sure from 3.5; hidden: strong once signs are read as letters.
+_PLAIN, _SECOND, _MILD, _STRONG, _HIDDEN, _SURE = range(6)
 _STEMS = (3, 4, 5, 6)
 
 
@@ -57,7 +58,7 @@ class _Codes(dict):
         word = chunk.decode("utf-8", "ignore").lower().strip(_EDGES)
         weight, code = self._weight(word), _PLAIN
         if weight:
-            code = _STRONG if weight >= 2 else _MILD
+            code = _SURE if weight >= 3.5 else _STRONG if weight >= 2 else _MILD
         elif word in SECOND_PERSON:
             code = _SECOND
         elif not word.isalpha() and word:
@@ -83,7 +84,9 @@ def features(texts: list[bytes], codes: _Codes) -> np.ndarray:
     for x in texts:
         words = x.split()
         c, n = bytes(map(codes.__getitem__, words)), max(1, len(words))
-        strong, mild, hidden, second = c.count(_STRONG), c.count(_MILD), c.count(_HIDDEN), c.count(_SECOND)
+        sure, mild, hidden, second = c.count(_SURE), c.count(_MILD), c.count(_HIDDEN), c.count(_SECOND)
+        strong = sure + c.count(_STRONG)
+        kinds = len({w.lower() for w, k in zip(words, c, strict=True) if k >= _STRONG}) if strong + hidden else 0
         close, gap = 0.0, 0.0
         if second and strong + mild + hidden:
             a = np.frombuffer(c, np.uint8)
@@ -91,8 +94,8 @@ def features(texts: list[bytes], codes: _Codes) -> np.ndarray:
             k = np.searchsorted(said, hits)
             far = np.minimum(np.abs(hits - said[np.minimum(k, len(said) - 1)]), np.abs(hits - said[np.maximum(k - 1, 0)]))
             close, gap = float((far <= 5).mean()), 1 / float(far.min())
-        rows.append((math.log1p(strong + hidden), 100 * (strong + hidden) / n, math.log1p(mild), 100 * mild / n, 100 * hidden / n, 100 * second / n, close, gap, math.log1p(n)))
-    return np.column_stack([np.array(rows, np.float64).reshape(len(texts), 9), rates[:, 1:]])
+        rows.append((math.log1p(sure), kinds, 100 * kinds / n, math.log1p(strong + hidden), 100 * (strong + hidden) / n, math.log1p(mild), 100 * mild / n, 100 * hidden / n, 100 * second / n, close, gap, math.log1p(n)))
+    return np.column_stack([np.array(rows, np.float64).reshape(len(texts), 12), rates[:, 1:]])
 
 
 @dataclass
