@@ -47,6 +47,16 @@ def ensemble(*ps: str) -> Column:
     return sum((F.col(p) for p in ps), F.lit(0.0)) / len(ps)
 
 
+def ablation(score: Callable[[list[str]], float], families: dict[str, list[str]]) -> list[dict]:
+    """The score with all feature families, and without each. score: fits and scores on the named features; the loop is over configured families, not rows."""
+    full = score([f for fs in families.values() for f in fs])
+    rows = [{"left_out": None, "score": full, "delta": 0.0}]
+    for name in families:
+        s = score([f for other, fs in families.items() if other != name for f in fs])
+        rows.append({"left_out": name, "score": s, "delta": s - full})
+    return rows
+
+
 def cascade(cand: DataFrame, cheap: Column, keep: int = 30) -> DataFrame:
     """The ``keep`` best candidates of each entity by the cheap score, which costly features are then made for."""
     w = Window.partitionBy("s1_id").orderBy(F.col("cheap").desc(), "vendor_id")

@@ -31,7 +31,6 @@ def query(sql: str | None):
 
 
 E, L = V.ENTITIES, V.LINKS
-R = "round({}, 6)".format
 
 
 @query(E + " SELECT entity_id, business_name, business_address, country FROM e")

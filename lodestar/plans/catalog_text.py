@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import similarity as sim
 from lodestar.functions import text
-from lodestar.operators import blocking, evaluate, features, training
+from lodestar.operators import blocking, features, training
 from lodestar.plans import views as V
-from lodestar.plans.catalog import _PRIOR, E, L, query  # noqa: F401
+from lodestar.plans.catalog import E, L, query
 
 
 def _n(c: str) -> str:
@@ -86,9 +86,6 @@ def _runs(n: int, c: str = "business_address") -> str:
     return rf"regexp_extract_all(lower(coalesce({c}, '')), '[\p{{L}}\p{{N}}_]{{{n},}}')"
 
 
-_ENDS = "CASE WHEN len(t) <= 10 THEN t ELSE list_concat(t[1:5], list_filter(t[-5:], lambda x: NOT list_contains(t[1:5], x))) END"
-
-
 @query(E + f", w AS (SELECT entity_id, {_runs(3)} AS t FROM e) SELECT entity_id, array_to_string(CASE WHEN len(t) <= 10 THEN t ELSE list_filter(list_concat(t[1:5], t[-5:]), lambda x, i: list_position(list_concat(t[1:5], t[-5:]), x) = i) END, '|') AS tokens FROM w")
 def addr_tokens10(spark, d):
     return V.entities(spark, d).select("entity_id", F.array_join(text.ends_of(text.word_runs(F.coalesce("business_address", F.lit("")), 3)), "|").alias("tokens"))

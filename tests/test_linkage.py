@@ -148,6 +148,8 @@ def test_models(spark):
     data = rows.withColumnRenamed("p", "x")
     scored = training.fit(data, ["x"], kind="gbt", maxIter=3)(data)
     assert training.calibrate(scored)(scored).where("calibrated < 0 or calibrated > 1").isEmpty()
+    rows = training.ablation(lambda fs: float(len(fs)), {"a": ["x", "y"], "b": ["z"]})
+    assert [(r["left_out"], r["delta"]) for r in rows] == [(None, 0.0), ("a", -2.0), ("b", -1.0)]
     w = features.fellegi_sunter(spark.createDataFrame([(True, True, 30), (True, False, 5), (False, True, 5), (False, False, 60)], "a boolean, b boolean, n long"), ("a", "b"))
     assert all(m > u for m, u in w.values())
 
