@@ -271,7 +271,8 @@ def near_dedup(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, bands:
     spark, texts = docs.sparkSession, with_id(docs)
     table = spark.sparkContext.broadcast(frequency_weights(texts, shingle))  # fixed size: 2 x WIDTH numbers
     signed = materialize(texts.mapInArrow(_signed(shingle, bands, rows, table), "id long, digest binary, keys array<bigint>"), "signed")
-    firsts = signed.groupBy("digest").agg(F.min("id").alias("first"))
+    # written, so that Spark deals out the joins below anew and can split a digest that many rows share
+    firsts = materialize(signed.groupBy("digest").agg(F.min("id").alias("first")), "firsts")
     alone = signed.join(firsts.withColumnRenamed("first", "id"), ["digest", "id"], "left_semi")
     keyed = alone.select("id", F.explode("keys").alias("key")).distinct()
     members = _shared(keyed.withColumn("far", F.lit(True)))
