@@ -8,9 +8,9 @@ over every document: its size is fixed, so it can go to all tasks, and its error
 2. One pass samples ``bands`` x ``rows`` times per text and keeps the band keys and a digest of the words. Texts of equal words are
    copies: only the one with the least id goes on, so that a large group of copies costs one row.
 3. In a bucket of few all pairs are compared. In a crowded bucket all members are compared with one center, the member that shares
-   most buckets with others. Members that are similar to each other but not to the center must agree in what tells them from it,
-   so they are sampled again over that difference alone, and the buckets of these samples are the next level, with one sample more
-   in each key than in the last, until no bucket has a pair that isn't settled. Comparisons are as many as members, not pairs, also in a bucket with thousands of near copies.
+   most buckets with others. Then all pairs of members that these links leave in different classes are compared, block by block,
+   each pair in the first bucket that it shares. No link between members of a bucket is lost; comparisons grow with the members
+   of a bucket where its center is near to all of them, and with their pairs where it holds many classes.
 4. Links of similarity ``threshold`` or more join documents into classes.
 
 Bucket joins are on (band key), whose grouped minimum is combined before the shuffle; texts are only shuffled for documents that
@@ -40,8 +40,6 @@ from lodestar.llm.components import components
 WIDTH = 1 << 18
 _DRAW_BITS = 14
 _DRAWS = 1 << _DRAW_BITS
-#: Keys from what tells a document from its center, and the share of added weight below which what it lacks counts instead.
-_APART, _ADDED = 64, 0.05
 _EDGES = b"!?.,;:\"'`()[]{}<>*#$%&|~^_+-=/\\@"
 
 
@@ -188,27 +186,8 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return least / most if most else 0.0
 
 
-def apart(a: tuple[np.ndarray, np.ndarray], c: tuple[np.ndarray, np.ndarray], rows: int) -> np.ndarray:
-    """Keys of ``rows`` samples each for a from what tells it from c: what it adds, or, if that is next to nothing, what it lacks.
-
-    Documents that only have c in common add little in common; documents that are similar to each other but not to c share
-    additions or gaps. Gaps overlap more by chance, so that one sample more makes a key there.
-    """
-    added = ~np.isin(a[0], c[0], assume_unique=True)
-    plus = a[1][added].sum() >= _ADDED * a[1].sum()
-    u, w = (a[0][added], a[1][added]) if plus else (x[~np.isin(c[0], a[0], assume_unique=True)] for x in c)
-    if not len(u):
-        return u
-    rows += not plus
-    s = sample(u, w, rows * _APART, 2 + rows).reshape(_APART, rows)
-    k = np.arange(1, _APART + 1, dtype=np.uint64)
-    for j in range(rows):
-        k = mix(k + s[:, j])
-    return k
-
-
-def _compared(size: int, threshold: float, table, level: int):
-    """Whether each document is similar to its center, and, for crowded buckets, its keys for the next level."""
+def _compared(size: int, threshold: float, table):
+    """Whether each document is similar to its center."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, weights, z, last = _Words(), table.value, zstandard.ZstdDecompressor(), (None, None)
@@ -218,52 +197,119 @@ def _compared(size: int, threshold: float, table, level: int):
             return u, _weights(u, n, weights)
 
         for batch in blocks(batches, 1 << 20):
-            near, keys = [], []
-            for a, b, center, crowded in zip(*(batch.column(c).to_pylist() for c in ("packed", "center_packed", "center", "crowded")), strict=True):
+            near = []
+            for a, b in zip(*(batch.column(c).to_pylist() for c in ("packed", "center_packed")), strict=True):
                 if last[0] != b:
                     last = (b, read(b))
-                one = read(a)
-                near.append(similarity(one, last[1]) >= threshold)
-                keys.append(mix(apart(one, last[1], level + 1) + np.uint64(center & (2**64 - 1))).view(np.int64) if crowded else None)
-            yield pa.record_batch([batch.column("id"), batch.column("center"), pa.array(near, pa.bool_()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "center", "near", "keys"])
+                near.append(similarity(read(a), last[1]) >= threshold)
+            yield pa.record_batch([batch.column("id"), batch.column("center"), pa.array(near, pa.bool_())], names=["id", "center", "near"])
 
     return run
 
 
-def _shared(members: DataFrame) -> DataFrame:
-    """The members (key, id, far) of buckets of two or more that aren't known to be one class: one of them at least is far."""
-    of_key = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("some")).where("n > 1 and some").select("key", "n")
-    return materialize(members.join(of_key, "key"), "members")
+def similarities(docs: list[tuple[np.ndarray, np.ndarray]], left: np.ndarray, right: np.ndarray, table: np.ndarray, at_once: int = 4096) -> np.ndarray:
+    """Weighted Jaccard similarities of the documents at left with those at right, each given by its shingles and their counts.
+
+    A shingle of count n is n shingles of count one, so that the least weights add up to a product of matrices. Weights are sums
+    of floats of 24 bits in doubles, so that the result is that of ``similarity``.
+    """
+    u, n = (np.concatenate([d[k] for d in docs]) for k in (0, 1))
+    row = np.repeat(np.arange(len(docs)), [len(d[0]) for d in docs])
+    one = _weights(u, np.ones(len(u)), table)
+    total = np.bincount(row, one * n, len(docs))
+    copy = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    code = np.repeat(np.unique(u, return_inverse=True)[1], n) * (int(n.max()) if len(n) else 1) + copy
+    row, one = np.repeat(row, n), np.repeat(one, n)
+    place = np.full((2, len(docs)), -1)
+    place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+    kinds, code = np.unique(code, return_inverse=True)
+    both = np.logical_and(*(np.bincount(code[p[row] >= 0], minlength=len(kinds)) > 0 for p in place))
+    kept = np.flatnonzero(both[code])
+    code = (np.cumsum(both) - 1)[code[kept]]
+    order = np.argsort(code, kind="stable")
+    code, row, one = code[order], row[kept][order], one[kept][order]
+    least, width = np.zeros((len(left), len(right))), int(both.sum())
+    for k in range(0, width, at_once):
+        part = slice(*np.searchsorted(code, (k, k + at_once)))
+        sides = []
+        for p, many, w in zip(place, least.shape, (np.ones(len(one)), one), strict=True):
+            at = p[row[part]]
+            m = np.zeros((many, min(at_once, width - k)))
+            m[at[at >= 0], code[part][at >= 0] - k] = w[part][at >= 0]
+            sides.append(m)
+        least += sides[0] @ sides[1].T
+    most = total[left][:, None] + total[right] - least
+    return np.divide(least, most, out=np.zeros_like(least), where=most > 0)
+
+
+def _blocks_compared(size: int, threshold: float, table):
+    """Links between the classes in two blocks of a bucket: all pairs of other classes that share no earlier bucket, where they are compared."""
+    known = _Words()
+
+    def run(rows: pa.Table) -> pa.Table:
+        z = zstandard.ZstdDecompressor()
+        docs = [_shingles(z.decompress(x), known, size)[:2] for x in rows.column("packed").to_pylist()]
+        root, first, key = rows.column("root").to_numpy(), rows.column("first").to_numpy(), rows.column("key")[0].as_py()
+        keys = np.array(rows.column("keys").to_pylist(), np.int64)
+        i, j = rows.column("i")[0], rows.column("j")[0]
+        left = np.flatnonzero(first)
+        right = left if i == j else np.flatnonzero(~first)
+        if not len(left) or not len(right):
+            return pa.table({"id": pa.array([], pa.int64()), "center": pa.array([], pa.int64())})
+        at = np.zeros((len(left), len(right)), np.int8)
+        for band in reversed(range(keys.shape[1])):
+            at[keys[left, band][:, None] == keys[right, band]] = band
+        wanted = (root[left][:, None] != root[right]) & (keys[left[:, None], at] == key)
+        near = wanted & (similarities(docs, left, right, table.value) >= threshold) if wanted.any() else wanted
+        a, b = np.nonzero(near)
+        found = np.unique(np.stack([root[left[a]], root[right[b]]], 1), axis=0)
+        return pa.table({"id": pa.array(found[:, 0], pa.int64()), "center": pa.array(found[:, 1], pa.int64())})
+
+    return run
+
 
+def _far_links(crowd: DataFrame, keyed: DataFrame, packed: DataFrame, near: DataFrame, size: int, threshold: float, table, side: int = 256) -> DataFrame:
+    """Verified links (id, center) between members of crowded buckets that ``near`` leaves in different classes.
 
-def _links(texts: DataFrame, members: DataFrame, size: int, threshold: float, table, few: int = 8, most_broadcast: int = 1_000_000) -> DataFrame:
-    """Verified (id, center) of all buckets. members: key, id, n (the members of the bucket, two or more), far (not known to be in one class with the other members that aren't)."""
+    The members of a bucket are dealt into blocks of about ``side``, a class of more than that into blocks of its own, and each block meets
+    each other one, but for those of one class.
+    """
+    roots = components(near.select(F.col("id").alias("a"), F.col("center").alias("b"))).withColumnRenamed("node", "id")
+    classed = crowd.select("key", "id").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    per = classed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
+    big = F.col("m") > side
+    of_key = per.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.sum(F.when(big, 0).otherwise(F.col("m"))).alias("rest")).where("classes > 1").select("key", "rest")
+    deal = F.pmod(F.xxhash64(F.when(big, F.col("id")).otherwise(F.col("root"))), F.ceil(F.when(big, F.col("m")).otherwise(F.col("rest")) / side)).cast("int")
+    block = F.struct(big.alias("big"), F.when(big, F.col("root")).otherwise(F.lit(0).cast("long")).alias("own"), deal.alias("part"))
+    dealt = materialize(classed.join(per.join(of_key, "key"), ["key", "root"]).select("key", "id", "root", block.alias("block")), "dealt")
+    each = dealt.select("key", "block").distinct()
+    met = each.withColumnRenamed("block", "i").join(each.withColumnRenamed("block", "j"), "key").where("i <= j and not (i.big and j.big and i.own = j.own)")
+    sides = met.withColumn("block", F.explode(F.array_distinct(F.array("i", "j")))).join(dealt, ["key", "block"])
+    texts_of = sides.join(keyed, "id").join(packed, "id").select("key", "i", "j", (F.col("block") == F.col("i")).alias("first"), "root", "keys", "packed")
+    return materialize(texts_of.groupBy("key", "i", "j").applyInArrow(_blocks_compared(size, threshold, table), "id long, center long"), "far")
+
+
+def _links(texts: DataFrame, keyed: DataFrame, size: int, threshold: float, table, few: int = 8, most_broadcast: int = 1_000_000) -> DataFrame:
+    """Verified (id, center) of all buckets. keyed: id, keys (one for each band)."""
+    each_key = keyed.select("id", F.explode("keys").alias("key")).distinct()
+    members = materialize(each_key.join(each_key.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key"), "members")
     wanted = members.select("id").distinct()
     wanted = F.broadcast(wanted) if wanted.count() <= most_broadcast else wanted  # 8 bytes a row
     packed = materialize(texts.mapInArrow(_packed, "id long, packed binary").join(wanted, "id", "left_semi"), "texts")
-    done, level = None, 0
-    while True:
-        level += 1
-        # a crowded bucket: all against the member that shares most buckets with others, which is what most are copies of
-        crowd = members.where(F.col("n") > few)
-        ranked = crowd.join(crowd.groupBy("id").agg(F.sum("n").alias("known")), "id")
-        centers = ranked.groupBy("key").agg(F.max(F.struct("known", "id", "far")).alias("c")).select("key", F.col("c.id").alias("center"), F.col("c.far").alias("far_center"))
-        pairs = crowd.join(centers, "key").where("id <> center and (far or far_center)").select("id", "center", F.lit(True).alias("crowded"))
-        # a bucket of few: all its pairs, at most few for each member
-        small = members.where(F.col("n") <= few)
-        others = small.groupBy("key").agg(F.collect_list(F.struct("id", "far")).alias("others"))
-        each = small.join(others, "key").select("id", "far", F.explode("others").alias("o")).where("id > o.id and (far or o.far)").select("id", F.col("o.id").alias("center"), F.lit(False).alias("crowded"))
-        pairs = pairs.unionByName(each).groupBy("id", "center").agg(F.max("crowded").alias("crowded"))
-        if done is not None:
-            seen = done.select("id", "center").unionByName(done.select(F.col("center").alias("id"), F.col("id").alias("center")))
-            pairs = pairs.join(seen, ["id", "center"], "left_anti")
-        texts_of = pairs.join(packed, "id").join(packed.select(F.col("id").alias("center"), F.col("packed").alias("center_packed")), "center")
-        found = materialize(texts_of.select("id", "center", "crowded", "packed", "center_packed").mapInArrow(_compared(size, threshold, table, level), "id long, center long, near boolean, keys array<bigint>"), "compared")
-        judged = found.select("id", "center", "near")
-        done = judged if done is None else done.unionByName(judged)
-        members = _shared(found.select("id", (~F.col("near")).alias("far"), F.explode("keys").alias("key")).distinct())
-        if members.isEmpty():
-            return done.where("near").select("id", "center")
+    # a crowded bucket: all against the member that shares most buckets with others, which is what most are copies of
+    crowd = members.where(F.col("n") > few)
+    ranked = crowd.join(crowd.groupBy("id").agg(F.sum("n").alias("known")), "id")
+    centers = ranked.groupBy("key").agg(F.max(F.struct("known", "id")).alias("c")).select("key", F.col("c.id").alias("center"))
+    pairs = crowd.join(centers, "key").where("id <> center").select("id", "center")
+    # a bucket of few: all its pairs, at most few for each member
+    small = members.where(F.col("n") <= few)
+    others = small.groupBy("key").agg(F.collect_list("id").alias("others"))
+    each = small.join(others, "key").select("id", F.explode("others").alias("center")).where("id > center")
+    pairs = pairs.unionByName(each).distinct()
+    texts_of = pairs.join(packed, "id").join(packed.select(F.col("id").alias("center"), F.col("packed").alias("center_packed")), "center")
+    found = materialize(texts_of.select("id", "center", "packed", "center_packed").mapInArrow(_compared(size, threshold, table), "id long, center long, near boolean"), "compared")
+    near = found.where("near").select("id", "center")
+    return near if crowd.isEmpty() else near.unionByName(_far_links(crowd, keyed, packed, near, size, threshold, table))
 
 
 def near_dedup(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, bands: int = 10, rows: int = 3) -> DataFrame:
@@ -274,9 +320,8 @@ def near_dedup(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, bands:
     # written, so that Spark deals out the joins below anew and can split a digest that many rows share
     firsts = materialize(signed.groupBy("digest").agg(F.min("id").alias("first")), "firsts")
     alone = signed.join(firsts.withColumnRenamed("first", "id"), ["digest", "id"], "left_semi")
-    keyed = alone.select("id", F.explode("keys").alias("key")).distinct()
-    members = _shared(keyed.withColumn("far", F.lit(True)))
-    roots = components(_links(texts, members, shingle, threshold, table).select(F.col("id").alias("a"), F.col("center").alias("b")))
+    keyed = alone.where("keys is not null").select("id", "keys")
+    roots = components(_links(texts, keyed, shingle, threshold, table).select(F.col("id").alias("a"), F.col("center").alias("b")))
     classes = signed.select("id", "digest").join(firsts, "digest").join(roots.withColumnRenamed("node", "first"), "first", "left").select("id", F.coalesce("root", "first").alias("class"))
     return classes.select(doc_id_of(), F.when(F.col("class") == NULL_ID, F.lit(None).cast("long")).otherwise(F.col("class")).alias("class_id"))
 

@@ -296,6 +296,51 @@ def test_near_dedup(spark, docs, rows, empty):
     assert near_dedup.keep_one(docs).columns == docs.columns
 
 
+def brute_classes(spark, lines):
+    """The least id of the class of each text, all pairs compared."""
+    df = table(spark, lines, False)
+    weights, known, sets = near_dedup.frequency_weights(df, 5), near_dedup._Words(), []
+    for _, x, _ in lines:
+        u, n, _ = near_dedup._shingles(x.encode(), known, 5)
+        sets.append((u, near_dedup._weights(u, n, weights)))
+    sims = np.array([[near_dedup.similarity(a, b) for b in sets] for a in sets])
+    root = np.arange(len(lines))
+    for a, b in zip(*np.nonzero(sims >= 0.8), strict=True):
+        root[root == max(root[a], root[b])] = min(root[a], root[b])
+    return df, {i: lines[r][0] for (i, _, _), r in zip(lines, root, strict=True)}, sims
+
+
+def template_family(pairs, seed):
+    """A passage with tails: documents of long tails in ``pairs`` of near copies, and documents of tails too long to be near any."""
+    rng = np.random.default_rng(seed)
+    passage, lines = [f"p{k}" for k in range(900)], []
+    tail = lambda n: [f"t{rng.integers(10**9)}" for _ in range(n)]
+    for k in range(pairs):
+        own = tail(20)
+        for _ in range(2):
+            lines.append((len(lines), " ".join(passage + own + tail(50 + k % 10)), "f"))
+    return lines + [(len(lines) + k, " ".join(passage + tail(130)), "f") for k in range(10)]
+
+
+def test_far_members_of_a_crowded_bucket_meet(spark):
+    df, want, sims = brute_classes(spark, template_family(20, 4))
+    links = sims[np.triu_indices(len(sims), 1)]
+    assert ((links >= 0.8) & (links <= 0.87)).sum() >= 20 and 10 < len(set(want.values())) < len(want)
+    assert {r.doc_id: r.class_id for r in near_dedup.near_dedup(df).collect()} == want
+
+
+def test_similarities_of_blocks():
+    rng = np.random.default_rng(2)
+    weights = rng.uniform(0.5, 1, 2 * near_dedup.WIDTH).astype(np.float32)
+    docs = [(np.unique(rng.integers(0, 400, 120)).astype(np.uint64) << np.uint64(20), None) for _ in range(30)]
+    docs = [(u, rng.integers(1, 5, len(u))) for u, _ in docs]
+    left, right = np.arange(12), np.arange(12, 30)
+    plain = [(u, near_dedup._weights(u, n, weights)) for u, n in docs]
+    for a, b in ((left, right), (left, left)):
+        want = [[near_dedup.similarity(plain[i], plain[j]) for j in b] for i in a]
+        assert near_dedup.similarities(docs, a, b, weights, 64).tolist() == want
+
+
 def test_consistent_sampling_estimates_similarity():
     rng = np.random.default_rng(5)
     u = np.sort(rng.integers(0, 2**63, 400, np.uint64))
