@@ -30,13 +30,15 @@ from lodestar.llm.common import materialize
 MALE = "Mr Sir Herr Señor Monsieur Signor господин Господин Κύριος".split()
 FEMALE = "Mrs Ms Miss Lady Frau Señora Señorita Madame Mademoiselle Signora госпожа Госпожа Κυρία".split()
 NEUTRAL = "Dr Prof Doctor Professor".split()
-_NAME = r"\p{Lu}[\p{Ll}]+(?:[-'’]\p{Lu}\p{Ll}+)?"
+_TITLES = "|".join(t for known in (MALE, FEMALE, NEUTRAL) for t in dict.fromkeys([*known, *(x.upper() for x in known)]))
+_NAME = r"\p{Lu}(?:\p{Ll}+|\p{Lu}+)(?:[-'’]\p{Lu}(?:\p{Ll}+|\p{Lu}+))?"
+_KEYWORD = r"(?i:password|passwd|token|secret|api_key)"
 
 #: Types in the order in which they are tried at a place.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? {_NAME}(?: {_NAME})?",
-    "secret": r"AKIA[0-9A-Z]{16}|(?:password|passwd|token|secret|api_key)\s?[=:]\s?\"?[A-Za-z0-9]{12,}\"?",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLES})\.? {_NAME}(?: {_NAME})?",
+    "secret": rf"AKIA[0-9A-Z]{{16}}|{_KEYWORD}\s?[=:]\s?\"?[A-Za-z0-9]{{12,}}\"?",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?:\.(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}(?![\d.]\d)",
@@ -45,11 +47,11 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every mention holds: a cheap test before the patterns.
-HINT = rf"[0-9@]|(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? \p{{Lu}}"
+HINT = rf"[0-9@]|(?:{_TITLES})\.? \p{{Lu}}"
 
 _ALNUM = r"[^\p{L}\p{N}]"
-_TITLE = rf"^(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? "
-_SECRET_HEAD = r"^(AKIA|(?:password|passwd|token|secret|api_key)\s?[=:]\s?\"?)"
+_TITLE = rf"^(?:{_TITLES})\.? "
+_SECRET_HEAD = rf"^(AKIA|{_KEYWORD}\s?[=:]\s?\"?)"
 _ONSETS = {"latin": "b c d f g h k l m n p r s t v w".split(), "cyrillic": "б в г д ж з к л м н п р с т ф х".split(), "greek": "β γ δ ζ θ κ λ μ ν ξ π ρ σ τ φ χ".split()}
 _VOWELS = {"latin": "a e i o".split(), "cyrillic": "а е и о".split(), "greek": "α ε ι ο".split()}
 _ENDS = {
@@ -83,15 +85,15 @@ def body_of(m: Column, kind: Column) -> Column:
         .when(kind.isin("card", "ssn"), digits)
         .when(kind == "iban", F.regexp_replace(m, " ", ""))
         .when(kind == "email", F.lower(m))
-        .when(kind == "name", F.regexp_replace(m, _TITLE, ""))
+        .when(kind == "name", F.initcap(F.regexp_replace(m, _TITLE, "")))
         .when(kind == "secret", F.regexp_replace(F.regexp_replace(m, _SECRET_HEAD, ""), '"', ""))
         .otherwise(m)
     )
 
 
 def gender_of(m: Column) -> Column:
-    title = F.regexp_extract(m, rf"^({'|'.join(MALE + FEMALE + NEUTRAL)})", 1)
-    return F.when(title.isin(MALE), "male").when(title.isin(FEMALE), "female").otherwise("neutral")
+    title = F.regexp_extract(m, rf"^({_TITLES})", 1)
+    return F.when(F.lower(title).isin([t.lower() for t in MALE]), "male").when(F.lower(title).isin([t.lower() for t in FEMALE]), "female").otherwise("neutral")
 
 
 def _number(seed: Column, place: Column, size: int = 8) -> Column:
@@ -199,10 +201,12 @@ def written(m: Column, kind: Column, new: Column) -> Column:
         at = F.length(F.regexp_replace(F.substring(m, F.lit(1), i), " ", "")) + 1
         return F.when(c != " ", F.substring(new, at, F.lit(1))).otherwise(c)
 
+    name = F.regexp_replace(m, _TITLE, "")
+
     return (
         F.when(kind.isin("phone", "card", "ssn"), F.array_join(F.transform(signs, digit), ""))
         .when(kind == "iban", F.array_join(F.transform(signs, letter), ""))
-        .when(kind == "name", F.concat(F.regexp_extract(m, _TITLE, 0), new))
+        .when(kind == "name", F.concat(F.regexp_extract(m, _TITLE, 0), F.when(name == F.upper(name), F.upper(new)).otherwise(new)))
         .when(kind == "secret", F.concat(F.regexp_extract(m, _SECRET_HEAD, 0), new, F.when(m.endswith('"'), F.lit('"')).otherwise(F.lit(""))))
         .otherwise(new)
     )

@@ -111,6 +111,14 @@ def test_pii(spark, docs, empty):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_pii_in_upper_case(spark):
+    lines = [(1, 'TOKEN = "abcdefabcdef12", PASSWORD: b7db7aa4a5fcc783, API_KEY=QWERTYUIOP12345', "a"), (2, "MR SMITH and MRS. ANNA KOVACS in 1999; Mr Smith", "a")]
+    got = {r.doc_id: r for r in pii.replace_pii(table(spark, lines)).collect()}
+    assert not re.search("abcdefabcdef12|b7db7aa4|QWERTY", got[1].text) and re.match(r'TOKEN = "\w{14}", PASSWORD: \w{16}, API_KEY=\w{15}$', got[1].text)
+    a, b, c = re.match(r"MR ([A-Z]+) and MRS\. ([A-Z]+ [A-Z]+) in 1999; Mr ([A-Z][a-z]+)$", got[2].text).groups()
+    assert a == c.upper() != "SMITH" and b != "ANNA KOVACS" and got[1].n_entities == got[2].n_entities == 3
+
+
 def test_pii_surrogates_stay_distinct(spark):
     many = table(spark, [(i, f"at {1 + i // 81}.{1 + i // 9 % 9}.{1 + i % 9}.9 now", "a") for i in range(729)])
     found = pii.resolved(pii.entities(many), "k").collect()
