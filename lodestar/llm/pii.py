@@ -47,7 +47,7 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every mention holds: a cheap test before the patterns.
-HINT = rf"[0-9@]|(?:{_TITLES})\.? \p{{Lu}}"
+HINT = rf"[0-9@]|AKIA|{_KEYWORD}\s?[=:]|(?:{_TITLES})\.? \p{{Lu}}"
 
 _ALNUM = r"[^\p{L}\p{N}]"
 _TITLE = rf"^(?:{_TITLES})\.? "
