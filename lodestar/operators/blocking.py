@@ -192,14 +192,18 @@ def siblings(vendors: DataFrame, survivors: DataFrame, most: int = 2) -> DataFra
 def ann_topk(queries: DataFrame, vectors: DataFrame, k: int, similarity: Column, most: int = 20_000) -> DataFrame:
     """The k nearest vectors of each query, exactly. queries: s1_id, q; vectors: vendor_id, v; similarity: over q and v.
 
-    The query set is stated and broadcast, once counted to be ``most`` rows or fewer; vectors stay where they are and keep their best per task.
+    The query set is stated and broadcast in blocks of about ``most`` rows, dealt by a hash of the id; vectors stay where they are and
+    keep their best per task.
     """
-    if queries.limit(most + 1).count() > most:
-        raise ValueError(f"over {most} queries: run them in blocks")
     w = Window.partitionBy("s1_id").orderBy(F.col("score").desc(), "vendor_id")
-    one = F.lit(1)
-    scored = vectors.withColumn("_x", one).join(F.broadcast(queries.withColumn("_x", one)), "_x").select("s1_id", "vendor_id", F.round(similarity, 6).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    one, parts = F.lit(1), max(1, -(-queries.count() // most))
+    dealt = F.pmod(F.xxhash64("s1_id"), F.lit(parts))
+
+    def best(block: DataFrame) -> DataFrame:
+        scored = vectors.withColumn("_x", one).join(F.broadcast(block.withColumn("_x", one)), "_x").select("s1_id", "vendor_id", F.round(similarity, 6).alias("score"))
+        return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    return functools.reduce(DataFrame.unionByName, (best(queries.where(dealt == p) if parts > 1 else queries) for p in range(parts)))
 
 
 def sample_ids(df: DataFrame, n: int, seed: int = 42, key: str = "entity_id") -> DataFrame:

@@ -258,6 +258,14 @@ def ann_topk(spark, d):
     return blocking.ann_topk(q, x, 10, sim.cosine(F.col("q"), F.col("v")))
 
 
+@query(None)
+def ann_topk_all(spark, d):
+    """Every hundredth vector against all."""
+    v = V.vectors(spark, d)
+    q, x = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("s1_id"), F.col("embedding").alias("q")), v.select(F.col("vec_id").alias("vendor_id"), F.col("embedding").alias("v"))
+    return blocking.ann_topk(q, x, 10, sim.cosine(F.col("q"), F.col("v")))
+
+
 @query(None)
 def sample_ids(spark, d):
     return blocking.sample_ids(V.entities(spark, d), 100).select("entity_id")

@@ -166,3 +166,20 @@ def test_pipeline_and_stream(spark, tmp_path):
     assert q.awaitTermination(120)
     want = blocking.pairs(blocking.name_prefix(V.reference(e)), blocking.name_prefix(V.vendors(e)))
     assert spark.read.parquet(str(tmp_path / "out")).select("s1_id", "vendor_id").exceptAll(want).isEmpty()
+
+
+def test_nearest_in_blocks_of_queries(spark):
+    points = [(i, float((i * 37) % 101)) for i in range(30)]
+    q, v = spark.createDataFrame(points, "s1_id long, q double"), spark.createDataFrame(points, "vendor_id long, v double")
+    got = blocking.ann_topk(q, v, 3, -F.abs(F.col("q") - F.col("v")), most=7)
+    want = {(a, b, k + 1) for a, x in points for k, (_, b) in enumerate(sorted((abs(x - y), b) for b, y in points)[:3])}
+    assert {(r.s1_id, r.vendor_id, r["rank"]) for r in got.collect()} == want
+
+
+def test_every_hundredth_vector_is_searched(spark):
+    from lodestar.plans import catalog, catalog_text  # noqa: F401
+
+    d = "/root/testdata/sf0.001"
+    ids = {r.vec_id for r in V.vectors(spark, d).where("vec_id % 100 = 0").collect()}
+    got = catalog.QUERIES["ann_topk_all"](spark, d).collect()
+    assert {r.s1_id for r in got} == ids and len(got) == 10 * len(ids) and ids <= {r.vendor_id for r in got if r.vendor_id == r.s1_id}
