@@ -400,6 +400,12 @@ def components(spark, d):
     return decision.components(o.select(F.col("o_custkey").alias("a"), (F.col("o_custkey") * 7 % 1500 + 1).alias("b")))
 
 
+@query(None)
+def components_all(spark, d):
+    """Over all orders."""
+    return decision.components(V._table(spark, d, "orders").select(F.col("o_custkey").alias("a"), (F.col("o_custkey") * 7 % 1500 + 1).alias("b")))
+
+
 @query(L + ", em AS (SELECT s1_id, string_agg(vendor_id, ',' ORDER BY rank) AS ids FROM ranked WHERE p >= 0.7 GROUP BY 1) SELECT row_idx, s.s1_id AS source1_entity_id, coalesce(ids, '') AS matched_entity_ids FROM spine s LEFT JOIN em ON s.s1_id = em.s1_id")
 def submission(spark, d):
     return S.submission(V.spine(spark, d), decision.policy_threshold(V.candidates(spark, d), 0.7))

@@ -183,3 +183,20 @@ def test_every_hundredth_vector_is_searched(spark):
     ids = {r.vec_id for r in V.vectors(spark, d).where("vec_id % 100 = 0").collect()}
     got = catalog.QUERIES["ann_topk_all"](spark, d).collect()
     assert {r.s1_id for r in got} == ids and len(got) == 10 * len(ids) and ids <= {r.vendor_id for r in got if r.vendor_id == r.s1_id}
+
+
+def test_components_of_all_orders(spark):
+    from lodestar.plans import catalog
+
+    d = "/root/testdata/sf0.001"
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for r in V._table(spark, d, "orders").select("o_custkey").collect():
+        a, b = sorted((find(r.o_custkey), find(r.o_custkey * 7 % 1500 + 1)))
+        root[b] = a
+    assert {r.node: r.root for r in catalog.QUERIES["components_all"](spark, d).collect()} == {x: find(x) for x in root}
