@@ -311,6 +311,12 @@ def feat_jaro_winkler(spark, d):
     return _out(fp, jw=features.jaro_winkler("a_name_norm", "b_name_norm"))
 
 
+@query(None)
+def feat_jaro_winkler_all(spark, d):
+    """Over all pairs, names in other scripts and empty ones too."""
+    return _out(_fp(spark, d), jw=features.jaro_winkler("a_name_norm", "b_name_norm"))
+
+
 @query(FP + f" SELECT s1_id, vendor_id, round({_jac(_t('x'), _t('y'))}, 6) AS name_jaccard, round({_jac(_t('ax'), _t('ay'))}, 6) AS addr_jaccard FROM fp")
 def feat_token_jaccard(spark, d):
     return _out(_fp(spark, d), name_jaccard=features.token_jaccard(), addr_jaccard=features.token_jaccard("addr_norm"))

@@ -200,3 +200,32 @@ def test_components_of_all_orders(spark):
         a, b = sorted((find(r.o_custkey), find(r.o_custkey * 7 % 1500 + 1)))
         root[b] = a
     assert {r.node: r.root for r in catalog.QUERIES["components_all"](spark, d).collect()} == {x: find(x) for x in root}
+
+
+def plain_jaro_winkler(a, b):
+    if a == b:
+        return 1.0
+    reach, used, left = max(len(a), len(b)) // 2 - 1, set(), []
+    for i, x in enumerate(a):
+        j = next((j for j in range(max(0, i - reach), min(len(b), i + reach + 1)) if b[j] == x and j not in used), None)
+        if j is not None:
+            used.add(j)
+            left.append(x)
+    m = len(left)
+    if not m:
+        return 0.0
+    t = sum(x != b[j] for x, j in zip(left, sorted(used), strict=True)) // 2
+    s = (m / len(a) + m / len(b) + (m - t) / m) / 3
+    p = next((k for k in range(min(4, len(a), len(b))) if a[k] != b[k]), min(4, len(a), len(b)))
+    return s + 0.1 * p * (1 - s)
+
+
+def test_jaro_winkler_of_all_names(spark):
+    from lodestar.plans import catalog, catalog_text
+
+    names = ["", "société générale", "societe générale", "москва трейд", "москва тред", "東京 商事", "plain name", "plane name"]
+    df = spark.createDataFrame([(a, b) for a in names for b in names if a or b], "a string, b string")
+    for r in df.withColumn("jw", features.jaro_winkler("a", "b")).collect():
+        assert r.jw == pytest.approx(plain_jaro_winkler(r.a, r.b), abs=1e-6), (r.a, r.b)
+    d = "/root/testdata/sf0.001"
+    assert catalog.QUERIES["feat_jaro_winkler_all"](spark, d).where("jw is not null").count() == catalog_text._fp(spark, d).count()
