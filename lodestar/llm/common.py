@@ -35,14 +35,16 @@ _made: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only a local master may go without that setting; it then gets a folder of its own.
+    Only a local master may go without that setting; its application then gets one folder of its own, which the context remembers.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        context = spark.sparkContext
+        if not context.master.startswith("local[") and context.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="lodestar-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not context.getCheckpointDir():
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="lodestar-"))
+        found = context.getCheckpointDir()
     return found.rstrip("/")
 
 

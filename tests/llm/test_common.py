@@ -1,5 +1,9 @@
 """Shared helpers: the shared folder, blocks, window hashes, components."""
 
+import os
+import subprocess
+import sys
+from pathlib import Path
 from types import SimpleNamespace
 
 import numpy as np
@@ -22,6 +26,22 @@ def test_shared_folder_comes_from_the_session():
         common.shared_dir(fake("local-cluster[2,1,1024]", None))
 
 
+def test_local_session_without_the_setting(tmp_path):
+    """In a process of its own, whose Spark has no configuration files."""
+    code = """
+from pyspark.sql import SparkSession
+from lodestar.llm import common
+s = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+assert s.conf.get("spark.checkpoint.dir", None) is None
+assert common.materialize(s.range(7), "few").count() == 7 and common.shared_dir(s) == common.shared_dir(s)
+print("written to", common.shared_dir(s))
+"""
+    env = {k: v for k, v in os.environ.items() if k not in ("SPARK_CONF_DIR", "PYSPARK_SUBMIT_ARGS")} | {"SPARK_CONF_DIR": str(tmp_path)}
+    root = Path(__file__).resolve().parents[2]
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, env=env, capture_output=True, text=True, timeout=300)
+    assert "written to" in done.stdout, done.stderr[-2000:]
+
+
 def test_blocks_keep_all_rows():
     batch = pa.record_batch({"t": ["x" * n for n in (1, 5000, 3, 0, 70_000, 2)]})
     cut = list(common.blocks([batch, batch.slice(0, 0)], 10_000))
