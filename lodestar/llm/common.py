@@ -90,16 +90,23 @@ def blocks(batches: Iterable[pa.RecordBatch], most: int = 4 << 20) -> Iterator[p
 
 
 class Hashes(dict):
-    """64-bit hashes of words, remembered while there are fewer than ``most``."""
+    """64-bit hashes of words, remembered while there are fewer than ``most``; words over ``longest`` bytes never are, so bytes are bounded too."""
+
+    longest = 64
 
     def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 
+    def hashed(self, word: bytes) -> int:
+        return xxhash.xxh3_64_intdigest(word)
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        h = self.hashed(word)
+        if len(word) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = h
         return h
 
 

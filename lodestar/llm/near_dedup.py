@@ -46,12 +46,9 @@ _EDGES = b"!?.,;:\"'`()[]{}<>*#$%&|~^_+-=/\\@"
 class _Words(Hashes):
     """Hashes of words in lower case and without edge punctuation; 0 for what is punctuation only."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
+    def hashed(self, word: bytes) -> int:
         bare = word.strip(_EDGES).decode("utf-8", "ignore").lower().encode()
-        self[word] = h = (xxhash.xxh3_64_intdigest(bare) or 1) if bare else 0
-        return h
+        return (xxhash.xxh3_64_intdigest(bare) or 1) if bare else 0
 
 
 def _shingles(text: bytes, known: _Words, size: int) -> tuple[np.ndarray, np.ndarray, bytes]:
