@@ -1,7 +1,7 @@
 """Best-fit packing of tokenized documents into sequences of fixed length.
 
 Tokenizing is one narrow pass: the tokenizer drops white space and no token spans it, so each pre-token is merged
-once per worker and remembered. Only numbers go on: a row for each piece of a document, written to the shared folder.
+once per worker and remembered, up to a bound in bytes (see ``tokens``). Only numbers go on: a row for each piece of a document, written to the shared folder.
 
 Pieces are dealt out evenly by a hash to shards of about ``shard`` pieces (their number follows the input, their size doesn't), and each
 shard is packed online, longest piece first, into at most ``open_bins`` open bins. Open bins stand in a bitset over free space: best fit is
@@ -23,17 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import as_bytes, blocks, materialize
-from lodestar.llm.tokens import WORDS_PATTERN, Units
+from lodestar.llm.common import blocks, materialize
+from lodestar.llm.tokens import Ids
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 _DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 @lru_cache(maxsize=1)
-def _known(name: str) -> Units:
+def _known(name: str) -> Ids:
     """Kept by the worker from task to task."""
-    return Units(name, WORDS_PATTERN, lower=True, most=500_000)
+    return Ids(name)
 
 
 def _pieces(name: str, length: int, end: int):
@@ -42,10 +42,9 @@ def _pieces(name: str, length: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _known(name)
         for batch in blocks(batches, 2 << 20):
-            texts = as_bytes(batch.column("text"))
             rows = []
-            for i, x in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-                ids = known.whole_text(x) + last
+            for i, x in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                ids = known.of(x or "") + last
                 for k in range(0, len(ids), 4 * length):
                     part = ids[k : k + 4 * length]
                     rows.append((i, k // (4 * length), k // 4, len(part) // 4, zlib.crc32(part)))

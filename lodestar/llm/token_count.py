@@ -1,44 +1,30 @@
-"""Token counts by a map-side two-tier lookup.
+"""Token counts by a map-side two-tier lookup of pre-tokens.
 
-Units are the stretches of text between single spaces, each with the space before it: byte-level BPE cuts the text there in any case, so
-the lengths of units add up. Tier one is a hash table of the lengths of frequent units, fixed in size (``frequent`` entries of ``longest``
-bytes at most), which every task gets by broadcast. Tier two is each worker's cache: it encodes what tier one misses, and keeps that
-while there is room. No unit is shuffled.
+Byte-level BPE never merges across pre-tokens, so a text has as many tokens as its pre-tokens together. Tier one is a hash table of the
+lengths (in tokens) of frequent pre-tokens, fixed in size (``frequent`` entries of ``longest`` characters at most), which every task gets by
+broadcast. Tier two is each worker's cache: it encodes what tier one misses, and keeps short pre-tokens while there is room
+(see ``tokens`` for its bound). No pre-token is shuffled.
 
-The frequent units come from one pass over all texts: each task keeps a Misra-Gries summary of ``frequent`` counters, and
-summaries are merged, a few at a time, in a tree of tasks. Which units it finds decides the speed, never a count.
+The frequent pre-tokens come from one pass over all texts: each task keeps a Misra-Gries summary of ``frequent`` counters, and
+summaries are merged, a few at a time, in a tree of tasks. Which pre-tokens it finds decides the speed, never a count.
 
-Texts in which a space stands before other white space are cut only at spaces between other characters, which holds for every text.
-
-Defined results: null text counts as empty, 0 tokens; a null doc_id stays null; equal rows are counted each.
+Defined results: null text counts as empty, 0 tokens; a null doc_id stays null; equal rows are counted each; extra columns are
+ignored; a text without spaces is cut into pre-tokens like any other.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import as_bytes, blocks
-from lodestar.llm.tokens import BYTES_PATTERN, Units
-
-#: A space before white space of any kind, in UTF-8.
-_RUN = re.compile(rb" (?:[\t-\r\x1c-\x1f ]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\xaf]|\xe2\x81\x9f|\xe3\x80\x80)")
-_SINGLE = re.compile(r"(?<=\S)(?= \S)")
-
-
-def units(text: bytes) -> tuple[bytes, list[bytes]]:
-    """The first unit, and the others without the space that each begins with."""
-    if _RUN.search(text):
-        first, *rest = (u.encode() for u in _SINGLE.split(text.decode("utf-8")))
-        return first, [u[1:] for u in rest]
-    first, *rest = text.split(b" ")
-    return first, rest
+from lodestar.llm.common import blocks
+from lodestar.llm.tokens import Lengths
 
 
 def _cut(counts: Counter, most: int) -> Counter:
@@ -50,16 +36,20 @@ def _cut(counts: Counter, most: int) -> Counter:
 
 
 def _summary(counts: Counter) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([list(counts)], pa.list_(pa.binary())), pa.array([list(counts.values())], pa.list_(pa.int64()))], names=["units", "counts"])
+    return pa.record_batch([pa.array([list(counts)], pa.list_(pa.string())), pa.array([list(counts.values())], pa.list_(pa.int64()))], names=["parts", "counts"])
+
 
+def _texts(batch: pa.RecordBatch) -> list[str]:
+    return [x or "" for x in batch.column("text").to_pylist()]
 
-def _counted(most: int, longest: int):
+
+def _counted(name: str, most: int, longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for batch in blocks(batches):
-            for x in as_bytes(batch.column("text")):
-                counts.update(units(x)[1])
-            if len(counts) > 6 * most:
+        known, counts = _worker(name), Counter()
+        for batch in blocks(batches, 2 << 20):
+            for x in _texts(batch):
+                counts.update(known.pre_tokens(x))
+            if len(counts) > 2 * most:
                 counts = _cut(Counter({u: n for u, n in counts.items() if len(u) <= longest}), most)
         yield _summary(_cut(Counter({u: n for u, n in counts.items() if len(u) <= longest and n > 1}), most))
 
@@ -70,7 +60,7 @@ def _merged(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for batch in batches:
-            for u, n in zip(batch.column("units").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            for u, n in zip(batch.column("parts").to_pylist(), batch.column("counts").to_pylist(), strict=True):
                 counts.update(dict(zip(u, n, strict=True)))
                 counts = _cut(counts, most)
         yield _summary(counts)
@@ -78,34 +68,37 @@ def _merged(most: int):
     return run
 
 
-def frequent_units(docs: DataFrame, most: int = 1 << 15, longest: int = 48, at_once: int = 16) -> list[bytes]:
-    """At most ``most`` units that are frequent over all texts."""
-    ddl = "units array<binary>, counts array<bigint>"
-    summaries = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_counted(most, longest), ddl)
+def frequent_parts(docs: DataFrame, tokenizer: str, most: int = 1 << 15, longest: int = 32, at_once: int = 16) -> list[str]:
+    """At most ``most`` pre-tokens that are frequent over all texts."""
+    ddl = "parts array<string>, counts array<bigint>"
+    summaries = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_counted(tokenizer, most, longest), ddl)
     parts = docs.rdd.getNumPartitions()
     while parts > 1:
         parts = -(-parts // at_once)
         summaries = summaries.repartition(parts).mapInArrow(_merged(most), ddl)
-    return [bytes(u) for r in summaries.collect() for u in r.units]
+    return [u for r in summaries.collect() for u in r.parts]
+
+
+@lru_cache(maxsize=2)
+def _worker(name: str) -> Lengths:
+    """Without tier one."""
+    return Lengths(name, most=50_000)
 
 
 @lru_cache(maxsize=1)
-def _known(name: str, table) -> tuple[Units, Units]:
-    """The two tiers for units after a space, and first units; kept by the worker from task to task."""
-    lasting = dict(zip(*table.value, strict=True))
-    return Units(name, BYTES_PATTERN, lower=False, before=" ", lengths=True, lasting=lasting), Units(name, BYTES_PATTERN, lower=False, lengths=True, most=20_000)
+def _known(name: str, table) -> Lengths:
+    """Both tiers; kept by the worker from task to task."""
+    return Lengths(name, dict(zip(*table.value, strict=True)))
 
 
 def _lengths(name: str, table, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, firsts = _known(name, table)
+        known = _known(name, table)
         for batch in blocks(batches, 2 << 20):
-            texts = as_bytes(batch.column("text"))
-            cut = [units(x) for x in texts]
-            tokens = [firsts[c[0]] + sum(map(known.__getitem__, c[1])) for c in cut]
-            yield pa.record_batch(
-                [batch.column("doc_id"), pa.array([len(x) for x in texts], pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens])], names=["doc_id", "n_bytes", "n_tokens", "over_limit"]
-            )
+            texts = _texts(batch)
+            tokens = list(map(known.of, texts))
+            sizes = pa.compute.binary_length(batch.column("text")).fill_null(0).cast(pa.int64())
+            yield pa.record_batch([batch.column("doc_id"), sizes, pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens])], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return run
 
@@ -113,7 +106,7 @@ def _lengths(name: str, table, limit: int):
 def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: int = 512, frequent: int = 1 << 15) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (more than ``limit`` tokens) of each row of docs."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = frequent_units(rows, frequent)
-    lengths = list(map(Units(tokenizer, BYTES_PATTERN, lower=False, before=" ", lengths=True).__getitem__, found))
+    found = frequent_parts(rows, tokenizer, frequent)
+    lengths = list(map(Lengths(tokenizer).parts.__getitem__, found))
     table = docs.sparkSession.sparkContext.broadcast((found, lengths))  # ``frequent`` short entries at most
     return rows.mapInArrow(_lengths(tokenizer, table, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

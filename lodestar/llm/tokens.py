@@ -1,39 +1,44 @@
-"""Tokenizing units of text with a public tokenizer, and remembering the results in the worker.
+"""Tokenizing pre-tokens with a public tokenizer, and remembering the results in the worker.
 
-A unit is text that the tokenizer treats apart from what surrounds it. Of units in plain letters, digits and signs (ASCII and precomposed
-Latin-1) the pre-tokens are cut here by the tokenizer's own pattern and only new pre-tokens reach its merges; any other unit, and any that
-may hold a special token, is given to the tokenizer whole. Tests hold both ways against the tokenizer over whole texts.
+The pre-tokens of texts in plain letters, digits and signs (ASCII and precomposed Latin-1) are cut here by the tokenizer's own pattern. Of
+other texts only the stretches between single spaces are cut here; a stretch that isn't plain is given to the tokenizer, and so is any
+that may hold a special token. Tests hold all ways against the tokenizer over whole texts.
+
+Memory: a cache forgets all but its lasting entries when it has ``most``, and what is longer than ``LONGEST`` characters is never remembered,
+so a worker's caches are bounded in bytes, whatever the texts hold.
 """
 
 from __future__ import annotations
 
 import os
 import re
-import string
 from array import array
-from collections.abc import Callable
+
+#: Longer pre-tokens and stretches are tokenized each time, and not remembered.
+LONGEST = 64
 
 #: Text of these characters alone has no composition, no special case mapping and no numbers but digits.
-_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
 _PLAIN_TEXT = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*").fullmatch
 _SPECIAL = "<|"
-_SIGNS = string.punctuation
-# The pre-token patterns of the two vocabularies, for plain text.
-WORDS_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
-#: The first of them for lower-case plain text of any length, white space included.
-_TEXT_PATTERN = re.compile("[a-zß-öø-ÿ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[!-/:-@\\[-`{-~]+").findall
-BYTES_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+")
+_SINGLE = re.compile(r"(?<=\S)(?= \S)")
+_BETWEEN = re.compile("[^ \t-\r]+").findall
+# The pre-token patterns of the two vocabularies, for plain text (of the first: in lower case).
+_WORDS = re.compile("[a-zß-öø-ÿ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[!-/:-@\\[-`{-~]+").findall
+_BYTES = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[!-/:-@\\[-`{-~]+|\\s+(?!\\S)|\\s+").findall
 
 
-def _byte_letters() -> dict[int, str]:
-    """The letters that byte-level vocabularies write for the UTF-8 bytes of each plain character and the space."""
+def _letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in shown]
-    letter = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
-    return {c: "".join(letter[b] for b in chr(c).encode()) for c in (32, *range(192, 256))}
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+_LETTERS = _letters()
 
 
-_LETTERS = _byte_letters()
+def byte_level(part: str) -> str:
+    return part.encode().decode("latin-1").translate(_LETTERS)
 
 
 def public_path(name: str) -> str:
@@ -43,64 +48,80 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class Units(dict):
-    """Ids (little-endian bytes) or numbers of tokens of units, learned when first asked for.
+def load(name: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_path(name))
+
+
+def is_plain(text: str) -> bool:
+    return _PLAIN_TEXT(text) is not None and _SPECIAL not in text
+
 
-    Over ``most`` units all but the ``lasting`` ones are forgotten; pre-tokens are remembered apart from units.
-    """
+class Cache(dict):
+    """Results of ``make``, remembered up to ``most`` beside the ``lasting`` ones."""
 
-    def __init__(self, name: str, pattern: re.Pattern, lower: bool, before: str = "", lengths: bool = False, most: int = 350_000, lasting: dict | None = None):
+    def __init__(self, make, most: int, lasting: dict | None = None):
         super().__init__(lasting or {})
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(public_path(name))
-        self.model, self.find, self.lower, self.before, self.most, self.lasting = self.tokenizer.model, pattern.findall, lower, before, most, lasting or {}
-        self.value: Callable = len if lengths else lambda ids: array("I", ids).tobytes()
-        self.total: Callable = sum if lengths else b"".join
-        self.parts = _Parts(self, lengths)
-
-    def whole(self, text: str):
-        return self.value(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def __missing__(self, unit: bytes):
-        if len(self) >= self.most + len(self.lasting):
-            self.clear()
-            self.update(self.lasting)
-        text = unit.decode("utf-8")
-        if _PLAIN(text) and _SPECIAL not in text:
-            text = text.lower() if self.lower else text
-            word = text.rstrip(_SIGNS)
-            if word.isalpha():  # letters, then signs or nothing: the most common shapes, two pre-tokens at most
-                found = self.parts[self.before + word]
-                if len(word) < len(text):
-                    found += self.parts[text[len(word) :]]
-            else:
-                found = self.total(map(self.parts.__getitem__, self.find(self.before + text)))
-        else:
-            found = self.whole(self.before + text)
-        self[unit] = found
+        self.make, self.lasting, self.most = make, lasting or {}, most + len(lasting or {})
+
+    def __missing__(self, part):
+        found = self.make(part)
+        if len(part) <= LONGEST:
+            if len(self) >= self.most:
+                self.clear()
+                self.update(self.lasting)
+            self[part] = found
         return found
 
 
-    def whole_text(self, text: bytes):
-        """What ``WORDS_PATTERN`` and lower case make of a whole text; white space stands between units of such a vocabulary."""
-        plain = text.decode("utf-8")
-        if _PLAIN_TEXT(plain) and _SPECIAL not in plain:
-            return self.total(map(self.parts.__getitem__, _TEXT_PATTERN(plain.lower())))
-        return self.total(map(self.__getitem__, text.split()))
+class Ids:
+    """Ids (little-endian bytes) of texts by a vocabulary of lower-case words, between whose pre-tokens white space goes."""
 
+    def __init__(self, name: str, most: int = 300_000):
+        self.tokenizer = load(name)
+        model = self.tokenizer.model
+        self.parts = Cache(lambda part: array("I", [t.id for t in model.tokenize(byte_level(part))]).tobytes(), most)
+        self.stretches = Cache(self._stretch, most // 4)
 
-class _Parts(dict):
-    """What ``Units`` knows of single pre-tokens."""
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.parts.__getitem__, _WORDS(text.lower())))
 
-    def __init__(self, units: Units, lengths: bool):
-        super().__init__()
-        self.tokenize, self.most, self.lengths = units.model.tokenize, units.most, lengths
+    def _stretch(self, text: str) -> bytes:
+        return self._plain(text) if is_plain(text) else array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def __missing__(self, part: str):
-        if len(self) >= self.most:
-            self.clear()
-        got = self.tokenize(part.translate(_LETTERS))
-        self[part] = found = len(got) if self.lengths else array("I", [t.id for t in got]).tobytes()
-        return found
+    def of(self, text: str) -> bytes:
+        return self._plain(text) if is_plain(text) else b"".join(map(self.stretches.__getitem__, _BETWEEN(text)))
+
+
+class Lengths:
+    """Numbers of tokens of texts by a vocabulary of byte-level pre-tokens. lasting: numbers of pre-tokens that are known from the start."""
+
+    def __init__(self, name: str, lasting: dict[str, int] | None = None, most: int = 300_000):
+        self.tokenizer = load(name)
+        model = self.tokenizer.model
+        self.parts = Cache(lambda part: len(model.tokenize(byte_level(part))), most, lasting)
+        self.stretches = Cache(self._stretch, most // 4)
+
+    def _cut(self, text: str) -> list[str]:
+        """The pre-tokens of a text that holds no special token."""
+        if is_plain(text):
+            return _BYTES(text)
+        return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+
+    def _stretch(self, text: str) -> int:
+        if _SPECIAL in text:
+            return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return sum(map(self.parts.__getitem__, self._cut(text)))
+
+    def pre_tokens(self, text: str) -> list[str]:
+        """The pre-tokens of a text, but for those of stretches that may hold a special token."""
+        if is_plain(text):
+            return _BYTES(text)
+        return [p for s in _SINGLE.split(text) if _SPECIAL not in s for p in self._cut(s)]
+
+    def of(self, text: str) -> int:
+        if is_plain(text):
+            return sum(map(self.parts.__getitem__, _BYTES(text)))
+        return sum(map(self.stretches.__getitem__, _SINGLE.split(text)))
