@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Stands for a null doc_id inside joins; null sorts before every other id.
@@ -70,6 +70,15 @@ def with_id(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.col("text").cast("string").alias("text"), *more)
 
 
+def kept_rows(docs: DataFrame, stays: DataFrame) -> DataFrame:
+    """One row of docs for each (id, h) of stays: id is doc_id, null as NULL_ID, and h ``xxhash64`` of the text. Columns of docs may have any names."""
+    whole = docs.select(F.struct(*docs.columns).alias("whole"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("h"))
+    found = whole.join(stays, ["id", "h"], "left_semi")
+    # repeated rows lie in one partition already
+    one = found.withColumn("n", F.row_number().over(Window.partitionBy("id", "h").orderBy(F.lit(1)))).where("n = 1")
+    return one.select(*(F.col("whole").getField(c).alias(c) for c in docs.columns))
+
+
 def doc_id_of(column: str = "id"):
     return F.when(F.col(column) == NULL_ID, F.lit(None).cast("long")).otherwise(F.col(column)).alias("doc_id")
 

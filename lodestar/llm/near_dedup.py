@@ -1,27 +1,33 @@
 """Near-dedup: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard similarity.
 
-Shingles are ``shingle`` consecutive words (lower case, without punctuation at their edges; a shorter text is one shingle). The
-weight of a shingle is its count times a document-frequency weight between a half and one. Frequencies come from a count-min sketch
-over every document: its size is fixed, so it can go to all tasks, and its error is a fixed share of the documents, at any size.
+Shingles are ``shingle`` consecutive words (lower case, without punctuation at their edges; a shorter text is one shingle). The weight of a
+shingle is its count times its inverse document frequency, augmented as it is usual for counts: 0.5 + 0.5 idf / (most idf). Frequencies come from
+a count sketch over every document, less the mean of what its counters share by chance; shares of documents under ``RARE`` count as
+``RARE``, which such a sketch of fixed size resolves at any number of documents. Half of each weight doesn't depend on the frequency, or
+else the shingles of a large group of near copies would be worth nothing for being frequent, and the group would fall apart.
 
 1. One pass counts the sketch; the partial sketches are merged in a tree of tasks.
-2. One pass samples ``bands`` x ``rows`` times per text and keeps the band keys and a digest of the words. Texts of equal words are
-   copies: only the one with the least id goes on, so that a large group of copies costs one row.
-3. In a bucket of few all pairs are compared. In a crowded bucket all members are compared with one center, the member that shares
-   most buckets with others. Then all pairs of members that these links leave in different classes are compared, block by block,
-   each pair in the first bucket that it shares. No link between members of a bucket is lost; comparisons grow with the members
-   of a bucket where its center is near to all of them, and with their pairs where it holds many classes.
-4. Links of similarity ``threshold`` or more join documents into classes.
-
-Bucket joins are on (band key), whose grouped minimum is combined before the shuffle; texts are only shuffled for documents that
-share a bucket with another. Nothing is collected but counts and the sketch.
-
-Defined results: null text counts as empty; texts without words are copies of each other; null doc_id sorts first and stays null;
-rows that share a doc_id fall into one class; other columns are ignored.
+2. One pass samples ``bands`` x ``rows`` times per text and keeps the band keys and a 128-bit digest of the words. Texts of equal digest
+   are copies and go on as one node, so that a large group of copies costs one row.
+3. In a bucket of few nodes all pairs are compared. In a crowded bucket all are compared with one center, the node that shares most
+   buckets with others, and in one order by further samples each with the ``beside`` nodes before it: rows in proportion to the members.
+4. What these links leave in different classes of a crowded bucket is settled exactly: blocks of members meet, and each pair of other
+   classes is verified unless its ``MARKS`` further samples agree too seldom (by four standard errors, which one pair at the threshold in
+   30,000 does). Blocks return links between classes, never pairs. This step grows with the product of the classes' members, where a bucket
+   holds members that no link joins.
+5. Links of similarity ``threshold`` or more join nodes into classes.
+
+Every join on a band key reads written tables on both sides, so that Spark can split a hot one; grouped minima and counts are combined
+before the shuffle; texts are only shuffled for documents that share a bucket with another. Nothing is collected but counts and the sketch.
+
+Defined results: null text counts as empty; texts without words are copies of each other; null doc_id sorts first and stays null (a
+class that holds a null id has a null class_id); rows that share a doc_id are classed by their own texts; repeated rows fall into one
+class; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,11 +39,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import NULL_ID, Hashes, as_bytes, blocks, doc_id_of, materialize, mix, window_hashes, with_id
+from lodestar.llm.common import NULL_ID, Hashes, as_bytes, blocks, doc_id_of, kept_rows, materialize, mix, window_hashes, with_id
 from lodestar.llm.components import components
 
 #: Counters in each of the two rows of the document-frequency sketch.
-WIDTH = 1 << 18
+WIDTH = 1 << 20
+#: The least share of documents that counts as one of its own.
+RARE = 1 / 1024
+#: Further samples of members of crowded buckets, kept as a byte each.
+MARKS = 128
 _DRAW_BITS = 14
 _DRAWS = 1 << _DRAW_BITS
 _EDGES = b"!?.,;:\"'`()[]{}<>*#$%&|~^_+-=/\\@"
@@ -94,16 +104,24 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _sketch_row(*_merged((s, n) for b in batches for s, n in zip(b.column("sketch").to_pylist(), b.column("docs").to_pylist(), strict=True)))
 
 
+def idf_weights(counts: np.ndarray, docs: int) -> np.ndarray:
+    """For each counter of the sketch the weight that it gives."""
+    counts = counts.reshape(2, -1).astype(np.float64)
+    total = counts.sum(1, keepdims=True)
+    # what other shingles add to a counter by chance, on average
+    own = np.maximum(0.0, (counts - total / WIDTH) * (WIDTH / (WIDTH - 1)))
+    share = np.clip(own / max(1, docs), max(RARE, 1 / max(1, docs)), 1.0)
+    return (0.5 + 0.5 * np.log1p(1 / share) / np.log1p(1 / RARE)).astype(np.float32).ravel()
+
+
 def frequency_weights(texts: DataFrame, size: int, at_once: int = 16) -> np.ndarray:
     """For each counter of the sketch the weight it gives, over all texts. 2 x WIDTH numbers, whatever the size of texts."""
     sketches = texts.select("text").mapInArrow(_sketched(size), "sketch binary, docs long")
     parts = texts.rdd.getNumPartitions()
-    while parts > at_once:
+    while parts > 1:
         parts = -(-parts // at_once)
         sketches = sketches.repartition(parts).mapInArrow(_merge, "sketch binary, docs long")
-    total, docs = _merged((bytes(r.sketch), r.docs) for r in sketches.collect())  # at_once rows at most
-    rare = np.log1p(docs / np.maximum(1.0, total)) / np.log1p(max(1, docs))
-    return (0.5 + 0.5 * np.minimum(1.0, rare)).astype(np.float32)
+    return idf_weights(*_merged((bytes(r.sketch), r.docs) for r in sketches.collect()))  # one row
 
 
 def _weights(u: np.ndarray, n: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -164,15 +182,27 @@ def _signed(size: int, bands: int, rows: int, table):
                 for j in range(rows):
                     k = mix(k + s[:, j])
                 keys.append(k.view(np.int64))
-            yield pa.record_batch([batch.column("id"), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "digest", "keys"])
+            yield pa.record_batch([batch.column("id"), batch.column("h"), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "h", "digest", "keys"])
 
     return run
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    z = zstandard.ZstdCompressor(level=3)
-    for batch in blocks(batches):
-        yield pa.record_batch([batch.column("id"), pa.array([z.compress(x) for x in as_bytes(batch.column("text"))], pa.binary())], names=["id", "packed"])
+def _packed(size: int, table):
+    """The texts of nodes, and MARKS samples of each that shares a crowded bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, weights, z = _Words(), table.value, zstandard.ZstdCompressor(level=3)
+        for batch in blocks(batches, 2 << 20):
+            out = []
+            for x, node, digest, crowded in zip(as_bytes(batch.column("text")), *(batch.column(c).to_pylist() for c in ("node", "digest", "crowded")), strict=True):
+                u, n, own = _shingles(x, known, size)
+                if own == digest:  # else another text under the same id
+                    marks = sample(u, _weights(u, n, weights), MARKS, seed=2).astype(np.uint8).tobytes() if crowded else b""
+                    out.append((node, z.compress(x), len(x), marks))
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.int64(), pa.binary()), strict=True)], names=["node", "packed", "size", "marks"])
+
+    return run
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -183,23 +213,68 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return least / most if most else 0.0
 
 
+class _Reader:
+    """Shingles and weights of packed texts."""
+
+    def __init__(self, size: int, table):
+        self.size, self.weights, self.known, self.z = size, table.value, _Words(), zstandard.ZstdDecompressor()
+
+    def counts(self, packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+        return _shingles(self.z.decompress(packed), self.known, self.size)[:2]
+
+    def __call__(self, packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+        u, n = self.counts(packed)
+        return u, _weights(u, n, self.weights)
+
+
+_LINKS = "a long, b long"
+
+
+def _links_of(a: list[int], b: list[int]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
 def _compared(size: int, threshold: float, table):
-    """Whether each document is similar to its center."""
+    """Links among pairs (a, b), whose texts are packed_a and packed_b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, weights, z, last = _Words(), table.value, zstandard.ZstdDecompressor(), (None, None)
+        read, last = _Reader(size, table), (None, None)
+        for batch in blocks(batches, 1 << 20):
+            found = []
+            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "packed_a", "packed_b")), strict=True):
+                if last[0] != b:
+                    last = (b, read(y))
+                if similarity(read(x), last[1]) >= threshold:
+                    found.append((a, b))
+            yield _links_of(*zip(*found, strict=True)) if found else _links_of([], [])
+
+    return run
+
+
+def _least_agreement(threshold: float) -> int:
+    return math.floor(MARKS * threshold - 4 * math.sqrt(MARKS * threshold * (1 - threshold)))
 
-        def read(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-            u, n, _ = _shingles(z.decompress(packed), known, size)
-            return u, _weights(u, n, weights)
 
+def _neighbours(size: int, threshold: float, table, beside: int):
+    """Links of members in order (key, marks) with the ``beside`` members of the same bucket before them."""
+    least = _least_agreement(threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read, key, before = _Reader(size, table), None, []
         for batch in blocks(batches, 1 << 20):
-            near = []
-            for a, b in zip(*(batch.column(c).to_pylist() for c in ("packed", "center_packed")), strict=True):
-                if last[0] != b:
-                    last = (b, read(b))
-                near.append(similarity(read(a), last[1]) >= threshold)
-            yield pa.record_batch([batch.column("id"), batch.column("center"), pa.array(near, pa.bool_())], names=["id", "center", "near"])
+            found = []
+            for k, node, root, packed, marks in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "root", "packed", "marks")), strict=True):
+                if k != key:
+                    key, before = k, []
+                marks, own = np.frombuffer(marks, np.uint8), None
+                for other in before:
+                    if other[1] != root and np.count_nonzero(other[2] == marks) >= least:
+                        own = own or read(packed)
+                        other[4] = other[4] or read(other[3])
+                        if similarity(own, other[4]) >= threshold:
+                            found.append((node, other[0]))
+                before = [*before[-beside + 1 :], [node, root, marks, packed, own]]
+            yield _links_of(*zip(*found, strict=True)) if found else _links_of([], [])
 
     return run
 
@@ -239,91 +314,158 @@ def similarities(docs: list[tuple[np.ndarray, np.ndarray]], left: np.ndarray, ri
     return np.divide(least, most, out=np.zeros_like(least), where=most > 0)
 
 
+def agreements(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many samples each row of a shares with each row of b."""
+    out = np.zeros((len(a), len(b)), np.uint8)
+    for x, y in zip(np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), strict=True):
+        out += x[:, None] == y
+    return out
+
+
 def _blocks_compared(size: int, threshold: float, table):
     """Links between the classes in two blocks of a bucket: all pairs of other classes that share no earlier bucket, where they are compared."""
-    known = _Words()
+    least = _least_agreement(threshold)
 
     def run(rows: pa.Table) -> pa.Table:
-        z = zstandard.ZstdDecompressor()
-        docs = [_shingles(z.decompress(x), known, size)[:2] for x in rows.column("packed").to_pylist()]
+        read, none = _Reader(size, table), pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         root, first, key = rows.column("root").to_numpy(), rows.column("first").to_numpy(), rows.column("key")[0].as_py()
-        keys = np.array(rows.column("keys").to_pylist(), np.int64)
-        i, j = rows.column("i")[0], rows.column("j")[0]
         left = np.flatnonzero(first)
-        right = left if i == j else np.flatnonzero(~first)
+        right = left if rows.column("i")[0] == rows.column("j")[0] else np.flatnonzero(~first)
         if not len(left) or not len(right):
-            return pa.table({"id": pa.array([], pa.int64()), "center": pa.array([], pa.int64())})
-        at = np.zeros((len(left), len(right)), np.int8)
+            return none
+        marks = np.frombuffer(b"".join(rows.column("marks").to_pylist()), np.uint8).reshape(-1, MARKS)
+        wanted = (root[left][:, None] != root[right]) & (agreements(marks[left], marks[right]) >= least)
+        if not wanted.any():
+            return none
+        keys = np.array(rows.column("keys").to_pylist(), np.int64)
+        at = np.zeros(wanted.shape, np.int8)
         for band in reversed(range(keys.shape[1])):
             at[keys[left, band][:, None] == keys[right, band]] = band
-        wanted = (root[left][:, None] != root[right]) & (keys[left[:, None], at] == key)
-        near = wanted & (similarities(docs, left, right, table.value) >= threshold) if wanted.any() else wanted
+        wanted &= keys[left[:, None], at] == key
+        # only documents of a wanted pair are read
+        some, other = np.flatnonzero(wanted.any(1)), np.flatnonzero(wanted.any(0))
+        if not len(some):
+            return none
+        packed = rows.column("packed").to_pylist()
+        used = np.unique(np.concatenate([left[some], right[other]]))
+        docs = [read.counts(packed[k]) for k in used]
+        near = wanted[np.ix_(some, other)] & (similarities(docs, np.searchsorted(used, left[some]), np.searchsorted(used, right[other]), table.value) >= threshold)
         a, b = np.nonzero(near)
-        found = np.unique(np.stack([root[left[a]], root[right[b]]], 1), axis=0)
-        return pa.table({"id": pa.array(found[:, 0], pa.int64()), "center": pa.array(found[:, 1], pa.int64())})
+        found = np.unique(np.stack([root[left[some[a]]], root[right[other[b]]]], 1), axis=0)
+        return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
 
     return run
 
 
-def _far_links(crowd: DataFrame, keyed: DataFrame, packed: DataFrame, near: DataFrame, size: int, threshold: float, table, side: int = 256) -> DataFrame:
-    """Verified links (id, center) between members of crowded buckets that ``near`` leaves in different classes.
+def _parts(rows: int, each: int) -> int:
+    """So many tasks that each has about ``each`` rows."""
+    return max(1, -(-rows // each))
 
-    The members of a bucket are dealt into blocks of about ``side``, a class of more than that into blocks of its own, and each block meets
-    each other one, but for those of one class.
-    """
-    roots = components(near.select(F.col("id").alias("a"), F.col("center").alias("b"))).withColumnRenamed("node", "id")
-    classed = crowd.select("key", "id").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+
+def _classed(crowd: DataFrame, links: DataFrame) -> DataFrame:
+    """crowd with root, the class that links put a node in."""
+    roots = components(links).withColumnRenamed("node", "_node")
+    return crowd.join(roots, F.col("node") == F.col("_node"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+
+
+def _open(classed: DataFrame) -> DataFrame:
+    """key, root, and members m of each class in buckets that hold several."""
     per = classed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
-    big = F.col("m") > side
-    of_key = per.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.sum(F.when(big, 0).otherwise(F.col("m"))).alias("rest")).where("classes > 1").select("key", "rest")
-    deal = F.pmod(F.xxhash64(F.when(big, F.col("id")).otherwise(F.col("root"))), F.ceil(F.when(big, F.col("m")).otherwise(F.col("rest")) / side)).cast("int")
+    several = per.groupBy("key").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1").select("key")
+    return materialize(per.join(several, "key"), "classes")
+
+
+def _beside_links(crowd: DataFrame, packed: DataFrame, links: DataFrame, size: int, threshold: float, table, beside: int) -> DataFrame:
+    """Links between members of crowded buckets that are near in an order by samples. Rows are dealt out by range, so no bucket is one task's."""
+    classed = materialize(_classed(crowd, links), "classed")
+    going = classed.join(_open(classed), ["key", "root"], "left_semi").join(packed, "node").select("key", "node", "root", "packed", "marks")
+    ordered = going.repartitionByRange(_parts(classed.count(), 2000), "key", "marks", "node").sortWithinPartitions("key", "marks", "node")
+    return materialize(ordered.mapInArrow(_neighbours(size, threshold, table, beside), _LINKS), "beside")
+
+
+def _far_links(crowd: DataFrame, keyed: DataFrame, packed: DataFrame, links: DataFrame, size: int, threshold: float, table, side: int = 512, most: int = 16 << 20) -> DataFrame:
+    """Verified links between members of crowded buckets that ``links`` leave in different classes.
+
+    The members of a bucket are dealt into blocks of about ``side`` and ``most`` bytes, a class of more than that into blocks of its own, and
+    each block meets each other one, but for those of one class.
+    """
+    sized = crowd.join(packed.select("node", "size"), "node")
+    classed = _classed(crowd, links)
+    full = materialize(classed.join(sized, ["key", "node"]), "classed")
+    counts = full.groupBy("key", "root").agg(F.greatest(F.count(F.lit(1)) / side, F.sum("size") / most).alias("m"))
+    big = F.col("m") > 1
+    of_key = counts.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.sum(F.when(big, 0.0).otherwise(F.col("m"))).alias("rest")).where("classes > 1").select("key", "rest")
+    plan = materialize(counts.join(of_key, "key"), "plan")
+    deal = F.pmod(F.xxhash64(F.when(big, F.col("node")).otherwise(F.col("root"))), F.greatest(F.lit(1), F.ceil(F.when(big, F.col("m")).otherwise(F.col("rest"))))).cast("int")
     block = F.struct(big.alias("big"), F.when(big, F.col("root")).otherwise(F.lit(0).cast("long")).alias("own"), deal.alias("part"))
-    dealt = materialize(classed.join(per.join(of_key, "key"), ["key", "root"]).select("key", "id", "root", block.alias("block")), "dealt")
+    dealt = materialize(full.join(plan, ["key", "root"]).select("key", "node", "root", block.alias("block")), "dealt")
     each = dealt.select("key", "block").distinct()
     met = each.withColumnRenamed("block", "i").join(each.withColumnRenamed("block", "j"), "key").where("i <= j and not (i.big and j.big and i.own = j.own)")
-    sides = met.withColumn("block", F.explode(F.array_distinct(F.array("i", "j")))).join(dealt, ["key", "block"])
-    texts_of = sides.join(keyed, "id").join(packed, "id").select("key", "i", "j", (F.col("block") == F.col("i")).alias("first"), "root", "keys", "packed")
-    return materialize(texts_of.groupBy("key", "i", "j").applyInArrow(_blocks_compared(size, threshold, table), "id long, center long"), "far")
-
-
-def _links(texts: DataFrame, keyed: DataFrame, size: int, threshold: float, table, few: int = 8, most_broadcast: int = 1_000_000) -> DataFrame:
-    """Verified (id, center) of all buckets. keyed: id, keys (one for each band)."""
-    each_key = keyed.select("id", F.explode("keys").alias("key")).distinct()
-    members = materialize(each_key.join(each_key.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key"), "members")
-    wanted = members.select("id").distinct()
-    wanted = F.broadcast(wanted) if wanted.count() <= most_broadcast else wanted  # 8 bytes a row
-    packed = materialize(texts.mapInArrow(_packed, "id long, packed binary").join(wanted, "id", "left_semi"), "texts")
+    met = materialize(met, "met")
+    sides = met.withColumn("block", F.col("i")).unionByName(met.where("i < j").withColumn("block", F.col("j")))
+    texts_of = sides.join(dealt, ["key", "block"]).join(keyed.select("node", "keys"), "node").join(packed.select("node", "packed", "marks"), "node")
+    texts_of = texts_of.select("key", "i", "j", (F.col("block") == F.col("i")).alias("first"), "root", "keys", "packed", "marks").repartition(_parts(met.count(), 2), "key", "i", "j")
+    return materialize(texts_of.groupBy("key", "i", "j").applyInArrow(_blocks_compared(size, threshold, table), _LINKS), "far")
+
+
+def _links(texts: DataFrame, keyed: DataFrame, size: int, threshold: float, table, few: int = 8, beside: int = 8, most_broadcast: int = 1_000_000) -> DataFrame:
+    """Verified links (a, b) of nodes, enough to join the classes of all buckets. keyed: node, first (an id), digest, keys (one for each band)."""
+    spread = lambda df: F.broadcast(df) if df.count() <= most_broadcast else df  # noqa: E731  written tables of a few numbers a row
+    each_key = keyed.select("node", F.explode("keys").alias("key"))
+    shared = materialize(each_key.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    members = materialize(each_key.join(spread(shared), "key"), "members")
+    wanted = materialize(members.groupBy("node").agg((F.max("n") > few).alias("crowded")).join(keyed, "node").select(F.col("first").alias("id"), "node", "digest", "crowded"), "wanted")
+    packed = texts.join(spread(wanted), "id").mapInArrow(_packed(size, table), "node long, packed binary, size long, marks binary").dropDuplicates(["node"])
+    packed = materialize(packed, "texts")
     # a crowded bucket: all against the member that shares most buckets with others, which is what most are copies of
     crowd = members.where(F.col("n") > few)
-    ranked = crowd.join(crowd.groupBy("id").agg(F.sum("n").alias("known")), "id")
-    centers = ranked.groupBy("key").agg(F.max(F.struct("known", "id")).alias("c")).select("key", F.col("c.id").alias("center"))
-    pairs = crowd.join(centers, "key").where("id <> center").select("id", "center")
+    ranked = crowd.join(crowd.groupBy("node").agg(F.sum("n").alias("known")), "node")
+    centers = materialize(ranked.groupBy("key").agg(F.max(F.struct("known", "node")).alias("c")).select("key", F.col("c.node").alias("b")), "centers")
+    pairs = crowd.join(spread(centers), "key").where("node <> b").select(F.col("node").alias("a"), "b")
     # a bucket of few: all its pairs, at most few for each member
     small = members.where(F.col("n") <= few)
-    others = small.groupBy("key").agg(F.collect_list("id").alias("others"))
-    each = small.join(others, "key").select("id", F.explode("others").alias("center")).where("id > center")
-    pairs = pairs.unionByName(each).distinct()
-    texts_of = pairs.join(packed, "id").join(packed.select(F.col("id").alias("center"), F.col("packed").alias("center_packed")), "center")
-    found = materialize(texts_of.select("id", "center", "packed", "center_packed").mapInArrow(_compared(size, threshold, table), "id long, center long, near boolean"), "compared")
-    near = found.where("near").select("id", "center")
-    return near if crowd.isEmpty() else near.unionByName(_far_links(crowd, keyed, packed, near, size, threshold, table))
+    others = small.groupBy("key").agg(F.collect_list("node").alias("others"))
+    each = small.join(others, "key").select(F.col("node").alias("a"), F.explode("others").alias("b")).where("a > b")
+    pairs = materialize(pairs.unionByName(each).distinct(), "pairs")
+    side = lambda c: packed.select(F.col("node").alias(c), F.col("packed").alias(f"packed_{c}"))
+    # dealt out by center and a salt, so that a center's text is read once a task and no center is one task's
+    texts_of = pairs.join(side("a"), "a").join(side("b"), "b").repartition(_parts(pairs.count(), 2000), "b", F.pmod(F.xxhash64("a"), F.lit(64))).sortWithinPartitions("b")
+    links = materialize(texts_of.mapInArrow(_compared(size, threshold, table), _LINKS), "compared")
+    if crowd.isEmpty():
+        return links
+    crowd = materialize(crowd.select("key", "node"), "crowd")
+    links = links.unionByName(_beside_links(crowd, packed, links, size, threshold, table, beside))
+    return links.unionByName(_far_links(crowd, keyed, packed, links, size, threshold, table))
+
+
+def _classes(docs: DataFrame, threshold: float, shingle: int, bands: int, rows: int) -> DataFrame:
+    """id, h (of the text), class (the least id of its class), and stays (whether id and h are those of the row that stands for the class) of each row of docs."""
+    spark, texts = docs.sparkSession, with_id(docs)
+    table = spark.sparkContext.broadcast(frequency_weights(texts, shingle))  # fixed size: 2 x WIDTH numbers
+    hashed = with_id(docs, F.xxhash64(F.col("text").cast("string")).alias("h"))
+    signed = materialize(hashed.mapInArrow(_signed(shingle, bands, rows, table), "id long, h long, digest binary, keys array<bigint>"), "signed")
+    # written, so that Spark deals out the joins below anew and can split a digest that many rows share
+    nodes = signed.groupBy("digest").agg(F.min(F.struct("id", "h", "keys")).alias("least"))
+    nodes = materialize(nodes.select("digest", F.monotonically_increasing_id().alias("node"), F.col("least.id").alias("first"), F.col("least.h").alias("h"), F.col("least.keys").alias("keys")), "nodes")
+    keyed = nodes.where("keys is not null")
+    roots = components(_links(texts, keyed, shingle, threshold, table))
+    rooted = nodes.select("digest", "node", F.struct("first", "h").alias("own")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = materialize(rooted, "rooted")
+    least = materialize(rooted.groupBy("root").agg(F.min("own").alias("least")), "least")
+    classes = materialize(rooted.join(least, "root").select("digest", "least"), "classes")
+    return signed.select("id", "h", "digest").join(classes, "digest").select("id", "h", F.col("least.first").alias("class"), ((F.col("id") == F.col("least.first")) & (F.col("h") == F.col("least.h"))).alias("stays"))
 
 
 def near_dedup(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, bands: int = 10, rows: int = 3) -> DataFrame:
     """doc_id and class_id (the least doc_id of its class of near copies) of each row of docs."""
-    spark, texts = docs.sparkSession, with_id(docs)
-    table = spark.sparkContext.broadcast(frequency_weights(texts, shingle))  # fixed size: 2 x WIDTH numbers
-    signed = materialize(texts.mapInArrow(_signed(shingle, bands, rows, table), "id long, digest binary, keys array<bigint>"), "signed")
-    # written, so that Spark deals out the joins below anew and can split a digest that many rows share
-    firsts = materialize(signed.groupBy("digest").agg(F.min("id").alias("first")), "firsts")
-    alone = signed.join(firsts.withColumnRenamed("first", "id"), ["digest", "id"], "left_semi")
-    keyed = alone.where("keys is not null").select("id", "keys")
-    roots = components(_links(texts, keyed, shingle, threshold, table).select(F.col("id").alias("a"), F.col("center").alias("b")))
-    classes = signed.select("id", "digest").join(firsts, "digest").join(roots.withColumnRenamed("node", "first"), "first", "left").select("id", F.coalesce("root", "first").alias("class"))
-    return classes.select(doc_id_of(), F.when(F.col("class") == NULL_ID, F.lit(None).cast("long")).otherwise(F.col("class")).alias("class_id"))
-
-
-def keep_one(docs: DataFrame, threshold: float = 0.8, shingle: int = 5) -> DataFrame:
-    """Of each class of near copies the rows with the least doc_id, with all columns of docs."""
-    stays = near_dedup(docs, threshold, shingle).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id")).distinct()
-    return docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).join(stays, "_id", "left_semi").select(*docs.columns)
+    found = _classes(docs, threshold, shingle, bands, rows)
+    return found.select(doc_id_of(), F.when(F.col("class") == NULL_ID, F.lit(None).cast("long")).otherwise(F.col("class")).alias("class_id"))
+
+
+def keep_one(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, bands: int = 10, rows: int = 3) -> DataFrame:
+    """Of each class of near copies one row, that with the least doc_id (null before all, ties by a hash of the text), with all columns of docs.
+
+    Null text counts as empty, all texts without words are one class; columns of docs may have any names; an empty table stays empty.
+    """
+    stays = _classes(docs, threshold, shingle, bands, rows).where("stays").select("id", "h").distinct()
+    return kept_rows(docs, stays)
