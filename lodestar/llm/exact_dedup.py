@@ -4,44 +4,53 @@ Build: one pass over the texts writes segment files to the shared folder: a row
 (compressed) normalised text for the first of each text in a block, its leader, which also carries the block's count and its
 best row. A hot text thus costs one leader for each block, not one row for each copy.
 
-Directory: starts as one bucket of all keys. While a bucket holds more than its capacity in bytes, it is split by the next bit of
-the key, doubling the directory where that bit is new; the sizes come from a grouped count over key prefixes, refined only below
-overfull buckets. A bucket of one key cannot be split and stays overfull; its leaders are chained. The capacity grows with the
-input, so the directory stays under ``entries`` buckets.
+Directory: one bucket of all keys is doubled until a bucket's share of all bytes is half its ``capacity``, which is the same at any size
+of input. Each bucket that is overfull then is split by further bits of its keys, from counts over key prefixes below overfull buckets
+alone; buckets that aren't split are never listed. A bucket of one key can't be split: its leaders are dealt out to salts of ``capacity`` bytes.
 
-Probe: leaders are dealt out by bucket; an owner task reads its key ranges in key order, chains rows of one key and compares their
-bytes, so different texts with one key stay apart. It returns, for each leader, the row that stays and the size of its group;
-documents look up their leader. Every such join is on the leader's own number, so no key of it is hot.
+Probe: leaders are dealt out by ranges of keys. An owner task reads its buckets in key order, chains rows of one key and compares
+their bytes, so different texts with one key stay apart. It returns, for each leader, the row that stays and the size of its group. What salts
+found of one key goes through the same index again, as one leader for each text and salt, until no bucket is overfull.
+Documents look up their leader; every such join is on the leader's own number, so no key of it is hot.
 
 Defined results: null text counts as empty, and empty texts equal each other; null doc_id sorts first and stays null; of rows that
-agree in text, length and doc_id one is kept; other columns of the input are ignored.
+agree in text, length and doc_id one is kept; an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import NULL_ID, as_bytes, blocks, doc_id_of, materialize, with_id
+from lodestar.llm.common import NULL_ID, as_bytes, blocks, doc_id_of, kept_rows, materialize, with_id
 
 _SPACE = b" \t\n\x0b\x0c\r"
-#: Bits of the key that each round of counting looks at.
-_BITS = 12
+#: Further bits of the key that each round of counting below overfull buckets looks at.
+_BITS = 6
+#: What a leader takes besides its text.
+_ROW = 64
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _segments(block: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _segments_of(batches, block)
+
+    return run
+
+
+def _segments_of(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
     z = zstandard.ZstdCompressor(level=3)
     number = TaskContext.get().partitionId() << 40
-    for batch in blocks(batches, 8 << 20):
+    for batch in blocks(batches, block):
         ids = batch.column("id").to_pylist()
         chars = pa.compute.utf8_length(batch.column("text")).fill_null(0).to_pylist()
         texts = [x.translate(None, _SPACE) for x in as_bytes(batch.column("text"))]
@@ -77,106 +86,151 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _SEGMENT = "row long, id long, h long, sha binary, leader long, key long, packed binary, n long, chars long, best_id long, best_row long"
 
 
-class Directory:
-    """Buckets of an extendible-hash index: (depth, prefix) of the key plus 2^63, as bits from the top."""
+def _low(key: Column, depth: int) -> Column:
+    """The least key of the bucket of this depth that holds key."""
+    return F.shiftleft(F.shiftright(key, 64 - depth), 64 - depth) if depth else F.lit(-(2**63)).cast("long")
 
-    def __init__(self, capacity: int, entries: int = 1 << 15):
-        self.capacity, self.entries, self.buckets = capacity, entries, [(0, 0)]
 
-    @property
-    def depth(self) -> int:
-        return max(d for d, _ in self.buckets)
+class Directory:
+    """Buckets of an extendible-hash index, each a range of keys.
 
-    def split(self, bucket: tuple[int, int]) -> None:
-        d, p = bucket
-        self.buckets.remove(bucket)
-        self.buckets += [(d + 1, 2 * p), (d + 1, 2 * p + 1)]
+    All have ``depth`` bits, but for those in ``below``: there, by the least key of a bucket of ``depth`` bits, are the buckets that it was
+    split into, as their least keys. ``salts`` has the parts of buckets of one key that stay overfull.
+    """
 
-    def lows(self) -> np.ndarray:
-        """The least key of each bucket, in order."""
-        return np.array(sorted((p << (64 - d)) - 2**63 for d, p in self.buckets), np.int64)
+    def __init__(self, capacity: int, salted: bool = True):
+        self.capacity, self.salted, self.depth, self.tasks = capacity, salted, 0, 1
+        self.below: dict[int, list[int]] = {}
+        self.salts: dict[int, int] = {}
 
     def grow(self, leaders: DataFrame) -> Directory:
-        """Splits what is overfull; each round counts ``_BITS`` more bits, below overfull buckets only."""
-        open_, deep = [(0, 0)], 0
-        while open_ and deep < 64:
-            at = min(deep + _BITS, 64)
-            under = leaders.where(F.shiftright("key", 64 - deep).isin([p - (1 << (deep - 1)) for _, p in open_])) if deep else leaders
-            found = under.groupBy(F.shiftright("key", 64 - at).alias("p")).agg(F.sum("size").alias("b"), F.min("key").alias("lo"), F.max("key").alias("hi")).collect()
-            held = {r.p + (1 << (at - 1)): (r.b, r.lo != r.hi) for r in found}
-            if not deep:
-                self.capacity = max(self.capacity, 2 * sum(b for b, _ in held.values()) // self.entries)
-            going, open_ = open_, []
-            while going:
-                d, p = going.pop()
-                inside = [x for q, x in held.items() if q >> (at - d) == p]
-                if sum(b for b, _ in inside) <= self.capacity or (len(inside) == 1 and not inside[0][1]):
-                    continue
-                if d == at:
-                    open_.append((d, p))
-                    continue
-                self.split((d, p))
-                going += self.buckets[-2:]
-            deep = at
+        """leaders: key, size. Doubles and splits until no bucket is overfull, but for those of one key."""
+        total = leaders.agg(F.sum("size")).first()[0] or 0
+        while total << 1 > self.capacity << self.depth and self.depth < 40:
+            self.depth += 1
+        self.tasks = max(1, -(-total // self.capacity))
+        at, top = self.depth, {}  # top: the undivided bucket that each open one is in
+        found = self._counted(leaders, at).where(F.col("b") > self.capacity).collect()
+        while found:
+            open_ = []
+            for r in found:
+                top.setdefault(r.p, r.p)
+                if r.lo != r.hi:
+                    open_.append(r.p)
+                elif r.n > 1 and self.salted:
+                    self.salts[r.p] = max(2, min(-(-r.b // self.capacity), -(-r.n // 2)))
+            if not open_ or at == 64:
+                break
+            deep = min(at + _BITS, 64)
+            inside = leaders.where(_low(F.col("key"), at).isin(open_)) if at else leaders
+            held = defaultdict(list)
+            for r in self._counted(inside, deep).collect():
+                held[r.p >> (64 - at) << (64 - at) if at else -(2**63)].append(r)
+            found = []
+            for p in open_:
+                known = self.below.setdefault(top[p], [top[p]])
+                found += self._split(p, at, deep, sorted(held[p], key=lambda r: r.p), known)
+            for r in found:
+                top[r.p] = top[next(p for p in open_ if p <= r.p < p + (1 << (64 - at)))]
+            at = deep
+        for lows in self.below.values():
+            lows.sort()
         return self
 
+    @staticmethod
+    def _counted(leaders: DataFrame, depth: int) -> DataFrame:
+        return leaders.groupBy(_low(F.col("key"), depth).alias("p")).agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
 
-def _owned(lows: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.searchsorted(lows, np.asarray(batch.column("key")), "right") - 1
-            yield pa.record_batch([pa.array(at, pa.int32()), *batch.columns], names=["bucket", *batch.schema.names])
+    def _split(self, low: int, depth: int, deep: int, held: list, known: list[int]) -> list:
+        """Splits a bucket, by its counts at depth deep; returns what is still overfull there."""
+        if depth == deep or sum(r.b for r in held) <= self.capacity or not held:
+            return [r for r in held if depth == deep and r.b > self.capacity]
+        middle = low + (1 << (63 - depth))
+        known.append(middle)
+        return self._split(low, depth + 1, deep, [r for r in held if r.p < middle], known) + self._split(middle, depth + 1, deep, [r for r in held if r.p >= middle], known)
 
-    return run
+    def placed(self, leaders: DataFrame) -> DataFrame:
+        """leaders with low (its bucket's least key), salts and salt."""
+        top = _low(F.col("key"), self.depth)
+        rows = [(p, sorted((q, self.salts.get(q, 1)) for q in self.below.get(p, [p]))) for p in {*self.below, *(q for q in self.salts if not any(q in lows for lows in self.below.values()))}]
+        split = leaders.sparkSession.createDataFrame(rows, "top long, inside array<struct<low:long,salts:int>>")  # overfull buckets alone
+        found = leaders.withColumn("top", top).join(F.broadcast(split), "top", "left")
+        own = F.array_max(F.filter("inside", lambda x: x.low <= F.col("key")))
+        placed = found.withColumn("own", F.coalesce(own, F.struct(F.col("top").alias("low"), F.lit(1).alias("salts"))))
+        return placed.select(F.col("own.low").alias("low"), F.col("own.salts").alias("salts"), F.pmod(F.xxhash64("leader"), F.col("own.salts")).cast("int").alias("salt"), *leaders.columns)
+
+
+_CHAINED = pa.schema([(c, pa.int64()) for c in ("leader", "rep", "n", "chars", "best_id", "best_row", "key")] + [("packed", pa.binary()), ("hot", pa.bool_())])
+_CHAINED_DDL = "leader long, rep long, n long, chars long, best_id long, best_row long, key long, packed binary, hot boolean"
 
 
 def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of key: of each key a chain of texts, compared byte by byte."""
+    """Rows in order of bucket, salt and key: of each key a chain of texts, compared byte by byte. The text goes on for the first leader of a salted key.
+
+    A bucket or salt holds its capacity at most, and so does the list of leaders of a chain.
+    """
     z = zstandard.ZstdDecompressor()
-    key, chain = None, []
+    place, chain, rows = None, [], []
+
+    def close() -> None:
+        for c in chain:
+            minus, best_id, best_row = c["best"]
+            for k, leader in enumerate(c["leaders"]):
+                rows.append((leader, c["leaders"][0], c["n"], -minus, best_id, best_row, place[2], c["packed"] if place[3] and not k else None, place[3]))
 
-    def closed() -> pa.RecordBatch:
-        rows = [(leader, c["best"][1], c["best"][2], c["n"]) for c in chain for leader in c["leaders"]]
-        return pa.record_batch([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["leader", "keep_id", "keep_row", "group_size"])
+    def taken() -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _CHAINED, strict=True)], schema=_CHAINED)
 
-    waiting: list[pa.RecordBatch] = []
     for batch in batches:
-        for r in zip(*(batch.column(c).to_pylist() for c in ("key", "leader", "packed", "n", "chars", "best_id", "best_row")), strict=True):
-            if r[0] != key:
-                if chain:
-                    waiting.append(closed())
-                key, chain = r[0], []
-            text, best = z.decompress(r[2]), (-r[4], r[5], r[6])
+        for low, salts, salt, key, leader, packed, n, chars, best_id, best_row in zip(*(batch.column(c).to_pylist() for c in ("low", "salts", "salt", "key", "leader", "packed", "n", "chars", "best_id", "best_row")), strict=True):
+            now = (low, salt, key, salts > 1)
+            if now != place:
+                close()
+                place, chain = now, []
+            text, best = z.decompress(packed), (-chars, best_id, best_row)
             for c in chain:
                 if c["text"] == text:
-                    c["n"] += r[3]
+                    c["n"] += n
                     c["best"] = min(c["best"], best)
-                    c["leaders"].append(r[1])
+                    c["leaders"].append(leader)
                     break
             else:
-                chain.append({"text": text, "n": r[3], "best": best, "leaders": [r[1]]})
-        if waiting:
-            yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
-            waiting = []
-    if chain:
-        yield closed()
-
-
-def _found(docs: DataFrame, capacity: int) -> DataFrame:
+                chain.append({"text": text, "packed": packed, "n": n, "best": best, "leaders": [leader]})
+        if rows:
+            yield taken()
+            rows = []
+    close()
+    if rows:
+        yield taken()
+
+
+def _groups(leaders: DataFrame, capacity: int, salted: bool = True) -> DataFrame:
+    """leader, keep_id, keep_row, group_size for each leader. salted: whether leaders of one overfull key are dealt out."""
+    directory = Directory(capacity, salted).grow(leaders.select("key", (F.length("packed") + _ROW).cast("long").alias("size")))
+    ranges = directory.placed(leaders).repartitionByRange(directory.tasks, "low", "salt").sortWithinPartitions("low", "salt", "key")
+    chained = ranges.mapInArrow(_chained, _CHAINED_DDL)
+    settled = ["leader", F.col("best_id").alias("keep_id"), F.col("best_row").alias("keep_row"), F.col("n").alias("group_size")]
+    if not directory.salts:
+        return chained.select(*settled)
+    chained = materialize(chained, "chained")
+    own = chained.where("hot and leader = rep").select("key", "leader", "packed", "n", "chars", "best_id", "best_row")
+    # texts that share a key but are different don't get fewer; they are chained in one place
+    fewer = own.count() < chained.where("hot").count()
+    above = materialize(_groups(own, capacity, fewer), "above").withColumnRenamed("leader", "rep")
+    hot = chained.where("hot").select("leader", "rep").join(above, "rep").select("leader", "keep_id", "keep_row", "group_size")
+    return chained.where("not hot").select(*settled).unionByName(hot)
+
+
+def _found(docs: DataFrame, capacity: int, block: int) -> DataFrame:
     """A row for each row of docs: id, h (a hash of the original text), row, keep_row, and what ``exact_dedup`` returns."""
-    segments = materialize(with_id(docs, F.xxhash64(F.col("text").cast("string")).alias("h")).mapInArrow(_segments, _SEGMENT), "segments")
-    leaders = segments.where("key is not null")
-    directory = Directory(capacity).grow(leaders.select("key", F.length("packed").cast("long").alias("size")))
-    owned = leaders.select("key", "leader", "packed", "n", "chars", "best_id", "best_row").mapInArrow(
-        _owned(directory.lows()), "bucket int, key long, leader long, packed binary, n long, chars long, best_id long, best_row long"
-    )
-    groups = owned.repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(_chained, "leader long, keep_id long, keep_row long, group_size long")
-    return segments.select("row", "id", "h", "sha", "leader").join(groups, "leader")
+    segments = materialize(with_id(docs, F.xxhash64(F.col("text").cast("string")).alias("h")).mapInArrow(_segments(block), _SEGMENT), "segments")
+    leaders = segments.where("key is not null").select("key", "leader", "packed", "n", "chars", "best_id", "best_row")
+    return segments.select("row", "id", "h", "sha", "leader").join(_groups(leaders, capacity), "leader")
 
 
-def exact_dedup(docs: DataFrame, capacity: int = 32 << 20) -> DataFrame:
-    """For each row of docs: doc_id, keep_id, group_size, kept, text_sha256 (whitespace removed). capacity: bytes of compressed text in a bucket."""
-    return _found(docs, capacity).select(
+def exact_dedup(docs: DataFrame, capacity: int = 32 << 20, block: int = 8 << 20) -> DataFrame:
+    """For each row of docs: doc_id, keep_id, group_size, kept, text_sha256 (whitespace removed). capacity: bytes of compressed text in a bucket; block: bytes of text that share leaders."""
+    return _found(docs, capacity, block).select(
         doc_id_of(),
         F.when(F.col("keep_id") == NULL_ID, F.lit(None).cast("long")).otherwise(F.col("keep_id")).alias("keep_id"),
         "group_size",
@@ -185,10 +239,10 @@ def exact_dedup(docs: DataFrame, capacity: int = 32 << 20) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame, capacity: int = 32 << 20) -> DataFrame:
-    """The rows of docs that ``exact_dedup`` keeps, with all their columns."""
-    stays = _found(docs, capacity).where(F.col("row") == F.col("keep_row")).select(F.col("id").alias("_id"), F.col("h").alias("_h")).distinct()
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_h": F.xxhash64(F.col("text").cast("string"))})
-    found = keyed.join(stays, ["_id", "_h"], "left_semi")
-    # whole rows that repeat lie in one partition already
-    return found.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_h").orderBy(F.lit(1)))).where("_n = 1").select(*docs.columns)
+def keep_one(docs: DataFrame, capacity: int = 32 << 20, block: int = 8 << 20) -> DataFrame:
+    """The rows of docs that ``exact_dedup`` keeps, with all their columns, whatever these are named.
+
+    Null text counts as empty, of texts without other characters than white space one stays; of repeated rows one stays; an empty table stays empty.
+    """
+    stays = _found(docs, capacity, block).where(F.col("row") == F.col("keep_row")).select("id", "h").distinct()
+    return kept_rows(docs, stays)

@@ -270,7 +270,7 @@ def test_exact_dedup(docs, rows, empty):
     for i, x, _ in rows:
         groups["".join(c for c in x or "" if c not in SPACE)].append((-len(x or ""), key(i), i))
     want = Counter((i, min(g)[2], len(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for _, _, i in g)
-    for capacity in (32 << 20, 500):
+    for capacity in (32 << 20, 20_000):
         got = exact_dedup.exact_dedup(docs, capacity).collect()
         assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == want
         assert sum(r.kept for r in got) == len(groups)
@@ -285,9 +285,37 @@ def test_equal_keys_are_told_apart_by_bytes():
 
     z = zstandard.ZstdCompressor()
     texts = [b"one", b"two", b"one"]
-    batch = pa.record_batch({"bucket": [0] * 3, "key": [5] * 3, "leader": [1, 2, 3], "packed": [z.compress(t) for t in texts], "n": [1, 1, 4], "chars": [3, 3, 9], "best_id": [1, 2, 3], "best_row": [1, 2, 3]})
-    out = [r for b in exact_dedup._chained(iter([batch])) for r in b.to_pylist()]
-    assert sorted((r["leader"], r["keep_id"], r["group_size"]) for r in out) == [(1, 3, 5), (2, 2, 1), (3, 3, 5)]
+    for salts in (1, 2):
+        batch = pa.record_batch({"low": [0] * 3, "salts": [salts] * 3, "salt": [0] * 3, "key": [5] * 3, "leader": [1, 2, 3], "packed": [z.compress(t) for t in texts], "n": [1, 1, 4], "chars": [3, 3, 9], "best_id": [1, 2, 3], "best_row": [1, 2, 3]})
+        out = [r for b in exact_dedup._chained(iter([batch])) for r in b.to_pylist()]
+        assert sorted((r["leader"], r["rep"], r["best_id"], r["n"]) for r in out) == [(1, 1, 3, 5), (2, 2, 2, 1), (3, 1, 3, 5)]
+        assert [r["leader"] for r in out if r["packed"]] == ([1, 2] if salts > 1 else [])
+
+
+def test_one_text_in_half_of_all_rows(spark):
+    """Tiny blocks give it thousands of leaders; its bucket can't be split, and its salts must meet again."""
+    n = 100_000
+    d = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("the same words"), F.repeat(F.lit(" "), (F.col("id") % 3).cast("int")))).otherwise(F.concat(F.lit("text "), (F.col("id") % 30_001).cast("string"))).alias("text"))
+    d = d.repartition(6)
+    got = exact_dedup.exact_dedup(d, capacity=200_000, block=2000)
+    hot = got.where("doc_id % 2 = 0")
+    assert hot.select("keep_id", "group_size").distinct().collect() == [(2, n // 2)] and hot.where("kept").count() == 1
+    rest = d.where("doc_id % 2 = 1").groupBy("text").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    want = d.where("doc_id % 2 = 1").join(rest, "text").select("doc_id", "keep_id", "group_size")
+    assert got.where("doc_id % 2 = 1").select("doc_id", "keep_id", "group_size").exceptAll(want).isEmpty() and got.count() == n
+
+
+def test_directory_splits_only_what_is_overfull(spark):
+    rng = np.random.default_rng(8)
+    keys = [int(k) for k in rng.integers(-(2**63), 2**63 - 1, 4000)] + [77] * 3000 + [-(2**63)] * 50
+    leaders = spark.createDataFrame([(k, 100, i) for i, k in enumerate(keys)], "key long, size long, leader long")
+    d = exact_dedup.Directory(20_000).grow(leaders)
+    assert d.depth == 7 and set(d.salts) == {0} and sum(len(x) for x in d.below.values()) < 80
+    per = {(r.low, r.salts): (r.b, r.lo, r.hi) for r in d.placed(leaders).groupBy("low", "salts").agg(F.sum("size").alias("b"), F.min("key").alias("lo"), F.max("key").alias("hi")).collect()}
+    ends = sorted(per)
+    assert all(b <= 20_000 or salts > 1 for (_, salts), (b, _, _) in per.items())
+    assert all(lo >= low and (k + 1 == len(ends) or hi < ends[k + 1][0]) for k, ((low, _), (_, lo, hi)) in enumerate((e, per[e]) for e in ends))
+    assert sum(b for b, _, _ in per.values()) == 100 * len(keys)
 
 
 def held(df, labels, column, spark):
