@@ -6,15 +6,17 @@ that fixed point in one pass over one row per source: source k stays clamped as
 the unclamped, over their weights) is at least its cap / weight.
 
 A source's target over its size says how often its documents come: whole repetitions for all of them, and once more for those that
-come first in a seeded order, as long as their sizes stay within the rest. The cut in that order is exact to one document, and no
-window runs over a whole source: a histogram over ``slices`` of the order is summed per source and slice (combined before the
-shuffle); only the slice that holds the cut is ordered document by document.
+come first in a seeded order, as long as their sizes stay within the rest. The cut in that order is exact to one document. It is found on
+narrow rows: a histogram over ``slices`` of the order is summed per source and slice (combined before the shuffle), then the slice that
+holds the cut is summed document by document. All rows are decided where they stand, by coming before their source's cut or not; only
+repeated rows that all fall on a cut are numbered.
 
-Scale: documents are shuffled as (source, slice, size) sums; one slice of the largest source is the largest window. The table of
-sources is joined by broadcast when counted under ``most_broadcast`` rows, else by Spark's own choice with skew handling.
+Scale: documents are never shuffled, but for those repeated rows; the largest window is one slice of the largest source, in numbers alone. Sources
+are ranked and filled by range partitions with running sums, so their number has no bound; the table of sources is joined by broadcast up to
+``most_broadcast`` bytes, else by Spark's own choice with skew handling.
 
-Defined results: null text has size 0 and is taken 0 times nothing; a null source is a source of its own, last in order; a null
-doc_id is ordered as an empty text; equal rows are interchangeable; a source of size 0 has target 0; an empty table gives no rows.
+Defined results: null text has size 0; a null source is a source of its own, last in order; a null doc_id is ordered by its text;
+equal rows are interchangeable; a source of size 0 has target 0; an empty table gives no rows; columns of docs may have any names.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import WORD
+from lodestar.llm.common import WORD, materialize
 
 
 def words_of(column: str) -> Column:
@@ -30,25 +32,31 @@ def words_of(column: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(column).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def order_of(seed: int, column: str = "doc_id") -> Column:
-    """A seeded place in the order, 0 to 2^48 - 1, from the md5 of seed and id."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(column).cast("string"), F.lit("")))
-    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
+def order_of(seed: int, column: str = "doc_id", text: str = "text") -> Column:
+    """A seeded place in the order, 0 to 2^48 - 1, from the md5 of seed and id (null: of the md5 of the text)."""
+    own = F.coalesce(F.col(column).cast("string"), F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), own)), 1, 12), 16, 10).cast("long")
 
 
-def water_filling(sources: DataFrame, epochs: float = 3.0) -> DataFrame:
-    """sources: source, source_size, weight. Adds target. One row per source passes through one window."""
-    ratio = epochs * F.col("source_size") / F.col("weight")
-    clamped = Window.orderBy("ratio", "rank")
-    before = clamped.rowsBetween(Window.unboundedPreceding, -1)
-    rest = clamped.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    total = Window.partitionBy()
-    with_level = sources.withColumn("ratio", ratio).withColumns(
-        {"level": (F.sum("source_size").over(total) - F.coalesce(epochs * F.sum("source_size").over(before), F.lit(0.0))) / F.sum("weight").over(rest)}
-    )
+def _before(df: DataFrame, order: list[str], sums: dict[str, str], parts: int) -> DataFrame:
+    """df with, for each name in sums, the sum of that column over all rows that come before in order: by range partitions and their totals."""
+    ranged = materialize(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    totals = ranged.groupBy("_part").agg(*(F.sum(c).alias(f"_{n}") for n, c in sums.items()))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    offsets = totals.select("_part", *(F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}") for n in sums))
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.join(F.broadcast(offsets), "_part").select(*df.columns, *((F.col(f"_{n}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(n) for n, c in sums.items()))
+
+
+def water_filling(sources: DataFrame, epochs: float = 3.0, parts: int = 64) -> DataFrame:
+    """sources: source_size, weight, rank (and others). Adds target."""
+    both = sources.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    rated = sources.withColumn("ratio", epochs * F.col("source_size") / F.col("weight"))
+    filled = _before(rated, ["ratio", "rank"], {"less": "source_size", "lighter": "weight"}, parts)
+    level = (F.lit(float(both.size or 0)) - epochs * F.col("less")) / (F.lit(float(both.weight or 0)) - F.col("lighter"))
     # the level of the first source that isn't clamped holds for it and all after it
-    found = with_level.withColumn("at", F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("ratio", "rank", "level"))).over(total))
-    return found.withColumn("target", F.round(F.least(epochs * F.col("source_size"), F.col("weight") * F.coalesce("at.level", F.lit(0.0))), 6)).select(*sources.columns, "target")
+    at = filled.withColumn("level", level).where("ratio >= level").agg(F.min(F.struct("ratio", "rank", "level")).alias("at")).first().at
+    return sources.withColumn("target", F.round(F.least(epochs * F.col("source_size"), F.col("weight") * F.lit(at.level if at else 0.0)), 6))
 
 
 def mix_sources(docs: DataFrame, carry: tuple[str, ...] = (), **options) -> DataFrame:
@@ -57,49 +65,64 @@ def mix_sources(docs: DataFrame, carry: tuple[str, ...] = (), **options) -> Data
     return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times", *(F.col(f"_carry_{c}").alias(c) for c in carry))
 
 
-def _mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: float = 3.0, seed: int = 42, slices: int = 4096, most_broadcast: int = 50_000, carry: tuple[str, ...] = ()) -> DataFrame:
+def _mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: float = 3.0, seed: int = 42, slices: int = 4096, most_broadcast: int = 16 << 20, parts: int = 64, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, times, and _carry_... for each column to carry.
 
     Sources in order of code points, null last, weigh weights[0], weights[1], ... and so on around.
     """
     width = 2**48 // slices
-    place = order_of(seed)
+    none, source = F.col("source").isNull(), F.coalesce(F.col("source").cast("string"), F.lit(""))
     rows = docs.select(
-        F.col("doc_id"), words_of("text").alias("size"), F.col("source").isNull().alias("_none"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_source"),
-        place.alias("_order"), F.floor(place / width).cast("int").alias("_slice"), *(F.col(c).alias(f"_carry_{c}") for c in carry),
-    )
+        F.col("doc_id"), words_of("text").alias("size"), none.alias("_none"), source.alias("_source"), order_of(seed).alias("_order"),
+        *(F.col(c).alias(f"_carry_{c}") for c in carry),
+    ).withColumn("_slice", F.floor(F.col("_order") / width).cast("int"))
     key = ["_none", "_source"]
-    sums = rows.groupBy(*key, "_slice").agg(F.sum("size").alias("held"))
-    per_source = sums.groupBy(*key).agg(F.sum("held").alias("source_size"))
-    ranked = per_source.withColumn("rank", F.row_number().over(Window.orderBy(*key)) - 1)
-    weighed = ranked.withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("rank") % len(weights) + 1).cast("int")))
-    filled = water_filling(weighed, epochs)
+    sums = materialize(rows.groupBy(*key, "_slice").agg(F.sum("size").alias("held")), "slices")
+    per_source = sums.groupBy(*key).agg(F.sum("held").alias("source_size"), F.lit(1).alias("one"))
+    ranked = _before(per_source, key, {"rank": "one"}, parts).drop("one")
+    weighed = materialize(ranked.withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("rank") % len(weights) + 1).cast("int"))), "weighed")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    plan = filled.withColumn("whole", whole).withColumn("spare", F.col("target") - F.col("whole") * F.col("source_size")).select(*key, "source_size", "target", "whole", "spare")
+    filled = water_filling(weighed, epochs, parts).withColumn("whole", whole).withColumn("spare", F.col("target") - F.col("whole") * F.col("source_size"))
     # the slice in which each source's rest runs out, and what the slices before it hold
     up_to = Window.partitionBy(*key).orderBy("_slice")
-    cut = (
-        sums.withColumn("upto", F.sum("held").over(up_to)).join(plan, key).where(F.col("upto") > F.col("spare"))
-        .groupBy(*key).agg(F.min(F.struct("_slice", "upto", "held")).alias("c"))
-        .select(*key, F.col("c._slice").alias("cut"), (F.col("c.upto") - F.col("c.held")).alias("before"))
+    slice_of = (
+        sums.withColumn("upto", F.sum("held").over(up_to)).join(filled.select(*key, "spare"), key).where(F.col("upto") > F.col("spare"))
+        .groupBy(*key).agg(F.min(F.struct("_slice", "upto", "held", "spare")).alias("c"))
+        .select(*key, F.col("c._slice").alias("_slice"), (F.col("c.upto") - F.col("c.held")).alias("before"), "c.spare")
     )
-    plan = plan.join(cut, key, "left")
-    if per_source.limit(most_broadcast + 1).count() <= most_broadcast:
-        plan = F.broadcast(plan)
+    slice_of = _spread(slice_of, most_broadcast)
+    # in that slice, the first place whose documents don't all fit, and how many of them do
+    place = F.struct("_order", "doc_id", "size")
+    narrow = rows.select("doc_id", "size", *key, "_order", "_slice").join(slice_of, [*key, "_slice"])
+    each = narrow.groupBy(*key, "_order", "doc_id", "size", "before", "spare").agg(F.count(F.lit(1)).alias("many"))
+    in_order = Window.partitionBy(*key).orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    over = each.withColumn("upto", F.col("before") + F.sum(F.col("size") * F.col("many")).over(in_order)).where("upto > spare")
+    fits = F.floor((F.col("spare") - (F.col("upto") - F.col("size") * F.col("many"))) / F.col("size")).cast("long")
+    cuts = over.groupBy(*key).agg(F.min(F.struct(place.alias("cut"), F.when(F.col("size") > 0, fits).otherwise(0).alias("fits"), "many")).alias("c")).select(*key, "c.*")
+    plan = _spread(filled.select(*key, "source_size", "target", "whole", "spare").join(cuts, key, "left"), most_broadcast)
     marked = rows.join(plan, key)
-    # only the slice with the cut is ordered row by row; the other rows are decided by their slice
-    inside = F.col("_slice") == F.coalesce("cut", F.lit(-1))
+    on_cut = F.coalesce(place == F.col("cut"), F.lit(False)) & (F.col("many") > 1) & (F.col("spare") > 0)
+    more = (F.col("spare") > 0) & (F.col("cut").isNull() | (place < F.col("cut")) | ((place == F.col("cut")) & (F.col("fits") > 0)))
     own = ["doc_id", "size", "source_size", "target", "whole", *(f"_carry_{c}" for c in carry)]
-    plain = marked.where(~inside).withColumn("more", (F.col("cut").isNull() | (F.col("_slice") < F.col("cut"))) & (F.col("spare") > 0))
-    running = F.sum("size").over(Window.partitionBy(*key).orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    exact = marked.where(inside).withColumn("more", (F.col("before") + running <= F.col("spare")) & (F.col("spare") > 0))
-    both = plain.select(*own, "more").unionByName(exact.select(*own, "more"))
+    plain = marked.where(~on_cut).select(*own, more.alias("more"))
+    numbered = marked.where(on_cut).withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("doc_id", *(f"_carry_{c}" for c in carry)))))
+    both = plain.unionByName(numbered.select(*own, (F.col("_n") <= F.col("fits")).alias("more")))
     times = F.col("whole") + F.when(F.col("more"), 1).otherwise(0)
     return both.select("doc_id", "size", "source_size", "target", times.alias("times"), *(f"_carry_{c}" for c in carry))
 
 
+def _spread(df: DataFrame, most_broadcast: int) -> DataFrame:
+    """A written table of one row per source, marked for broadcast up to so many bytes."""
+    written = materialize(df, "sources")
+    size = written.agg(F.sum(F.octet_length("_source") + 128)).first()[0] or 0
+    return F.broadcast(written) if size <= most_broadcast else written
+
+
 def repeat_rows(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, with all their columns."""
+    """The rows of docs, each as often as the mix takes it, with all their columns, whatever these are named.
+
+    Null text counts as size 0; a document without words is repeated like the others of its place; an empty table stays empty.
+    """
     others = tuple(c for c in docs.columns if c != "doc_id")
     repeated = _mixed(docs, carry=others, **options).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))))
     return repeated.select(*(F.col("doc_id" if c == "doc_id" else f"_carry_{c}").alias(c) for c in docs.columns))

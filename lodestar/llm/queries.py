@@ -32,7 +32,7 @@ FROM w LEFT JOIN kept k ON w.doc_id = k.doc_id
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """20-word windows that start earlier elsewhere, removed from every document."""
-    return substring_dedup(documents(spark, sf_dir), length=20, first=10)
+    return substring_dedup(documents(spark, sf_dir), length=20, first=5)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7 = r"""
 WITH d AS (SELECT doc_id, source IS NULL AS nil, coalesce(source, '') AS src, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-                  CAST('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) AS place FROM documents),
+                  CAST('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))), 1, 12) AS BIGINT) AS place FROM documents),
 s AS (SELECT nil, src, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY nil, src) - 1 AS rank FROM d GROUP BY nil, src),
 w AS (SELECT *, CAST(rank % 3 + 1 AS DOUBLE) AS weight FROM s),
 r AS (SELECT *, 3.0::DOUBLE * source_size / weight AS ratio, sum(source_size) OVER () AS total FROM w),
