@@ -4,7 +4,9 @@ The laws expand by tables of 256 samples, built from their formulas. ADPCM is se
 all blocks of a batch advance together, one sample at a time, with numpy. Rates change by a polyphase filter (windowed sinc in integers:
 results do not depend on the machine). Everything is a narrow pass over rows; a batch is cut to a few MB before it is decoded.
 
-Defined results: null media decodes to null; null text counts as empty (its payload is 64 zero bytes); equal bytes give equal results.
+Defined results: null media decodes to null; media that isn't a whole RIFF/WAVE file of one channel in a known codec decodes to null, with
+the reason in a column of its own; null text counts as empty (its payload is 64 zero bytes); equal bytes give equal results; an empty table
+gives no rows; other columns are kept, but for ones that are named like the results, which these replace.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import as_bytes, blocks
 
 PCM, ALAW, MULAW, ADPCM = 1, 6, 7, 0x11
+#: The least and the most samples a second that are taken for audio.
+RATES = (1000, 192_000)
 NAMES = {PCM: "pcm", ALAW: "alaw", MULAW: "mulaw", ADPCM: "ima_adpcm"}
 
 # Fixed values of IMA ADPCM: step sizes, and how a code moves the place in them.
@@ -76,6 +80,8 @@ def parse(media: bytes) -> tuple[int, int, int, bytes]:
     while at + 8 <= len(media) and data is None:
         name, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
         body = media[at + 8 : at + 8 + size]
+        if len(body) < size:
+            raise ValueError("a chunk is cut off")
         fmt, data = (body, None) if name == b"fmt " else (fmt, body if name == b"data" else None)
         at += 8 + size + size % 2
     if len(fmt) < 16 or data is None:
@@ -83,6 +89,12 @@ def parse(media: bytes) -> tuple[int, int, int, bytes]:
     kind, channels, rate, _, unit, _ = struct.unpack_from("<HHIIHH", fmt)
     if kind not in NAMES or channels != 1:
         raise ValueError(f"format {kind} with {channels} channels isn't telephony audio")
+    if not RATES[0] <= rate <= RATES[1]:
+        raise ValueError(f"{rate} samples a second")
+    if unit < 5 if kind == ADPCM else unit != (2 if kind == PCM else 1):
+        raise ValueError(f"units of {unit} bytes")
+    if len(data) % unit:
+        raise ValueError("the last unit is cut off")
     return kind, rate, unit, data
 
 
@@ -145,18 +157,31 @@ def resample(x: np.ndarray, source: int, target: int, half: int = 4) -> np.ndarr
     return out
 
 
-def to_pcm(df: DataFrame, media: str = "media", rate: int = 16_000, out: str = "pcm") -> DataFrame:
-    """df with the column ``out``: the audio in ``media`` as a WAVE file of 16-bit samples at ``rate``."""
+def _error(media: bytes) -> str | None:
+    """Why media can't be decoded."""
+    try:
+        parse(media)
+    except ValueError as e:
+        return str(e)
+    return None
+
+
+def to_pcm(df: DataFrame, media: str = "media", rate: int = 16_000, out: str = "pcm", error: str = "pcm_error") -> DataFrame:
+    """df with the columns ``out``, the audio in ``media`` as a WAVE file of 16-bit samples at ``rate``, and ``error``, why there is none (null for null media)."""
+    kept = [c for c in df.columns if c not in (out, error)]
+    schema = df.select(*(F.col(f"`{c}`") for c in kept)).schema.add(out, "binary").add(error, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, 1 << 20):
-            files = batch.column(media).to_pylist()
-            heard = iter(decode([f for f in files if f is not None]))
-            made = [None if f is None else wave(PCM, rate, 2, resample(x, r, rate).astype("<i2").tobytes()) for f in files for _, r, x in ([next(heard)] if f is not None else [(0, 0, None)])]
-            yield pa.record_batch([*batch.columns, pa.array(made, pa.binary())], names=[*batch.schema.names, out])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, f"{fields}, `{out}` binary")
+            files = batch.column(batch.num_columns - 1).to_pylist()
+            errors = [f if f is None else _error(f) for f in files]
+            good = [k for k, (f, e) in enumerate(zip(files, errors, strict=True)) if f is not None and e is None]
+            made: list[bytes | None] = [None] * len(files)
+            for k, (_, was, x) in zip(good, decode([files[k] for k in good]), strict=True):
+                made[k] = wave(PCM, rate, 2, resample(x, was, rate).astype("<i2").tobytes())
+            yield pa.record_batch([*batch.columns[:-1], pa.array(made, pa.binary()), pa.array(errors, pa.string())], names=schema.names)
+
+    return df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{media}`").cast("binary").alias("_media_")).mapInArrow(run, schema)
 
 
 def store(payload: bytes, rate: int = 8_000, block: int = 64) -> bytes:
