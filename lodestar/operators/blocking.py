@@ -7,7 +7,10 @@ tells what a join would yield before it runs, by counts, and ``drop_crowded`` le
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -189,23 +192,60 @@ def siblings(vendors: DataFrame, survivors: DataFrame, most: int = 2) -> DataFra
     return survivors.select("s1_id", "vendor_id").unionByName(added).distinct()
 
 
-def ann_topk(queries: DataFrame, vectors: DataFrame, k: int, similarity: Column, most: int = 20_000) -> DataFrame:
-    """The k nearest vectors of each query, exactly. queries: s1_id, q; vectors: vendor_id, v; similarity: over q and v.
+def _unit(column: pa.Array, width: int) -> np.ndarray:
+    """Vectors as rows of length one; null, empty and zero vectors, and those of another width, are zero."""
+    rows = [np.asarray(x if x is not None and len(x) == width else np.zeros(width), np.float64) for x in column.to_pylist()]
+    flat = np.stack(rows) if rows else np.zeros((0, width))
+    size = np.sqrt((flat * flat).sum(1, keepdims=True))
+    return np.divide(flat, size, out=np.zeros_like(flat), where=size > 0)
+
+
+def _best(owner: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each owner the k best scores, ties by id."""
+    order = np.lexsort((ids, -scores, owner))
+    owner, ids, scores = owner[order], ids[order], scores[order]
+    first = np.searchsorted(owner, owner, "left")
+    kept = np.arange(len(owner)) - first < k
+    return owner[kept], ids[kept], scores[kept]
 
-    The query set is stated and broadcast in blocks of about ``most`` rows, dealt by a hash of the id; vectors stay where they are and
-    keep their best per task.
-    """
-    w = Window.partitionBy("s1_id").orderBy(F.col("score").desc(), "vendor_id")
-    one, parts = F.lit(1), max(1, -(-queries.count() // most))
-    dealt = F.pmod(F.xxhash64("s1_id"), F.lit(parts))
 
-    def best(block: DataFrame) -> DataFrame:
-        scored = vectors.withColumn("_x", one).join(F.broadcast(block.withColumn("_x", one)), "_x").select("s1_id", "vendor_id", F.round(similarity, 6).alias("score"))
-        return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def ann_topk(queries: DataFrame, vectors: DataFrame, k: int, most: int = 4096) -> DataFrame:
+    """s1_id, vendor_id, score (cosine, six places) and rank of the k nearest vectors of each query, exactly. queries: s1_id, q; vectors: vendor_id, v.
 
-    return functools.reduce(DataFrame.unionByName, (best(queries.where(dealt == p) if parts > 1 else queries) for p in range(parts)))
+    The query set is stated; it goes to the tasks in blocks of about ``most`` rows, dealt by a hash of the id. Vectors stay where they are: a task
+    multiplies its batches with the block and keeps k rows a query, so what is shuffled is k rows for each query and task.
+    """
+    spark, parts = queries.sparkSession, max(1, -(-queries.count() // most))
+    dealt, schema = F.pmod(F.xxhash64("s1_id"), F.lit(parts)), f"s1_id {queries.schema['s1_id'].dataType.simpleString()}, vendor_id {vectors.schema['vendor_id'].dataType.simpleString()}, score double"
+
+    def near(block: DataFrame) -> DataFrame:
+        rows = block.select("s1_id", "q").toArrow()  # about ``most`` rows
+        width = max((len(x) for x in rows.column("q").to_pylist() if x is not None), default=0)
+        table = spark.sparkContext.broadcast((rows.column("s1_id").to_pylist(), _unit(rows.column("q"), width)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, q = table.value
+            held, kind = None, pa.int64()
+            for batch in batches:
+                if not batch.num_rows or not len(names):
+                    continue
+                kind, ids = batch.schema.field("vendor_id").type, batch.column("vendor_id").to_numpy(zero_copy_only=False)
+                scores = np.round(q @ _unit(batch.column("v"), width).T, 6)
+                # all that may be among the k best, with what ties with the last of them
+                last = np.partition(scores, -k, axis=1)[:, -k] if k < scores.shape[1] else np.full(len(q), -2.0)
+                owner, at = np.nonzero(scores >= last[:, None])
+                found = (owner, ids[at], scores[owner, at])
+                held = _best(*(found if held is None else (np.concatenate(x) for x in zip(held, found, strict=True))), k)
+            if held is not None:
+                yield pa.record_batch([pa.array([names[o] for o in held[0]]), pa.array(held[1], kind), pa.array(held[2], pa.float64())], names=["s1_id", "vendor_id", "score"])
+
+        return vectors.select("vendor_id", "v").mapInArrow(run, schema)
+
+    found = functools.reduce(DataFrame.unionByName, (near(queries.where(dealt == p) if parts > 1 else queries) for p in range(parts)))
+    w = Window.partitionBy("s1_id").orderBy(F.col("score").desc(), "vendor_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def sample_ids(df: DataFrame, n: int, seed: int = 42, key: str = "entity_id") -> DataFrame:
     """n records by a seeded hash of the id: the same ones at any partitioning."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key))), key).limit(n)

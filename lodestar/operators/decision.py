@@ -107,26 +107,28 @@ def one_to_one(links: DataFrame) -> DataFrame:
     return links.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def components(links: DataFrame, checkpoint_every: int = 4) -> DataFrame:
-    """node, root of the graph of links (a, b): least labels spread over links, and labels follow their own labels, until nothing changes.
+def components(links: DataFrame) -> DataFrame:
+    """node, root of the graph of links (a, b): root is the least node that links lead to.
 
-    Following labels halves the distance to the root each round, so rounds grow with the logarithm of a component's width. Lineage is
-    cut by checkpoints where a folder is set for them.
+    Every round hangs nodes on the least of their neighbours, larger ones first and then each node's own least ones, until all of a
+    component hang on one. A round leaves at most as many links as there were, so a node with very many is never joined with itself, and
+    rounds grow with the logarithm of the nodes. Lineage is cut by checkpoints where a folder is set for them.
     """
-    spark = links.sparkSession
-    edges = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    now, seen, rounds = edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")), None, 0
+    kept = bool(links.sparkSession.conf.get("spark.checkpoint.dir", None))
+    nodes = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    now, before, seen = links.where("a <> b").select(high.alias("a"), low.alias("b")).distinct(), None, None
     while True:
-        spread = edges.join(now.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        lower = now.join(spread, now.node == spread.a, "left").select("node", F.least("root", F.coalesce("near", "root")).alias("root"))
-        ends = lower.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        now = lower.join(ends, "root", "left").select("node", F.least("root", F.coalesce("far", "root")).alias("root"))
-        rounds += 1
-        if spark.conf.get("spark.checkpoint.dir", None) and rounds % checkpoint_every == 0:
-            now = now.checkpoint()
-        else:
-            now = now.persist()
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first()
+        ends = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = ends.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
+        hung = ends.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+        own = hung.groupBy("a").agg(F.min("b").alias("least"))
+        moved = hung.join(own, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(own.withColumnRenamed("least", "b"))
+        now = moved.where("a <> b").distinct()
+        now = now.checkpoint() if kept else now.persist()
+        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if before is not None and not kept:
+            before.unpersist()
         if state == seen:
-            return now
-        seen = state
+            return nodes.join(now.withColumnRenamed("a", "node"), "node", "left").select("node", F.coalesce("b", "node").alias("root"))
+        before, seen = now, state

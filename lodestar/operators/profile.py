@@ -167,3 +167,11 @@ def encoding_profile(df: DataFrame) -> DataFrame:
 def address_components(df: DataFrame) -> DataFrame:
     a = F.col("business_address")
     return df.where(a.isNotNull()).groupBy(source()).agg(F.avg(F.length(a) - F.length(F.replace(a, F.lit(","), F.lit("")))).alias("commas"), F.count_if(a.rlike(r"\b[A-Z]{2}\b")).alias("state_codes"))
+
+
+def check_buckets(counted: DataFrame, rows: int, n: str = "n") -> DataFrame:
+    """counted, if its buckets hold ``rows`` together; an error otherwise."""
+    held = counted.agg(F.sum(n)).first()[0] or 0
+    if held != rows:
+        raise ValueError(f"buckets hold {held} of {rows} rows")
+    return counted

@@ -17,16 +17,31 @@ def label_pairs(cand: DataFrame, truth: DataFrame) -> DataFrame:
     return cand.join(known, ["s1_id", "vendor_id"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
 
 
+def _drawn(seed: int, *keys: str) -> Column:
+    """A seeded hexadecimal draw for a row, the same in any engine that has md5."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *keys))
+
+
 def hard_negatives(labelled: DataFrame, per_positive: int = 10, seed: int = 42) -> DataFrame:
     """All positives and, per entity, ``per_positive`` negatives for each positive (for one, if it has none), by a seeded hash."""
-    w = Window.partitionBy("s1_id", "y").orderBy(F.xxhash64("s1_id", "vendor_id", F.lit(seed)), "vendor_id")
+    w = Window.partitionBy("s1_id", "y").orderBy(_drawn(seed, "s1_id", "vendor_id"), "vendor_id")
     wanted = F.greatest(F.lit(1), F.sum("y").over(Window.partitionBy("s1_id"))) * per_positive
     return labelled.withColumns({"_r": F.row_number().over(w), "_n": wanted}).where("y = 1 or _r <= _n").drop("_r", "_n")
 
 
+def stratified_negatives(labelled: DataFrame, per_positive: int = 10, seed: int = 42, stratum: str = "country") -> DataFrame:
+    """All positives, and in each stratum negatives at the rate that gives ``per_positive`` for each of its positives, by a seeded draw of each pair.
+
+    Rates are one row a stratum; pairs are decided where they stand.
+    """
+    rates = labelled.groupBy(stratum).agg((per_positive * F.sum("y") / F.greatest(F.lit(1), F.count_if(F.col("y") == 0))).alias("_rate"))
+    draw = F.conv(F.substring(_drawn(seed, "s1_id", "vendor_id"), 1, 8), 16, 10).cast("long") / F.lit(16.0**8)
+    return labelled.join(rates, stratum).where((F.col("y") == 1) | (draw < F.col("_rate"))).drop("_rate")
+
+
 def fold(key: str = "s1_id", folds: int = 5, seed: int = 42) -> Column:
     """The fold of an entity: all its pairs fall into one."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(folds)).cast("int")
+    return F.pmod(F.conv(F.substring(_drawn(seed, key), 1, 8), 16, 10).cast("long"), F.lit(folds)).cast("int")
 
 
 def fit(train: DataFrame, features: list[str], label: str = "y", kind: str = "gbt", seed: int = 42, **options):

@@ -391,18 +391,11 @@ def one_to_one(spark, d):
     return decision.one_to_one(_claims(spark, d))
 
 
-_GRAPH = "SELECT o_custkey AS a, o_custkey * 7 % 1500 + 1 AS b FROM orders WHERE o_orderkey % 16 = 0"
+_GRAPH = "SELECT DISTINCT o_custkey AS a, o_custkey * 7 % 1500 + 1 AS b FROM orders"
 
 
 @query(f"WITH RECURSIVE l AS ({_GRAPH}), u AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r(node, root) AS (SELECT DISTINCT a, a FROM u UNION SELECT u.b, r.root FROM r JOIN u ON r.node = u.a) SELECT node, min(root) AS root FROM r GROUP BY node")
 def components(spark, d):
-    o = V._table(spark, d, "orders").where("o_orderkey % 16 = 0")
-    return decision.components(o.select(F.col("o_custkey").alias("a"), (F.col("o_custkey") * 7 % 1500 + 1).alias("b")))
-
-
-@query(None)
-def components_all(spark, d):
-    """Over all orders."""
     return decision.components(V._table(spark, d, "orders").select(F.col("o_custkey").alias("a"), (F.col("o_custkey") * 7 % 1500 + 1).alias("b")))
 
 
@@ -431,7 +424,7 @@ def union_vendor(spark, d):
     return V.vendors(V.entities(spark, d)).select("entity_id", "country")
 
 
-@query(None)
+@query(E + " SELECT count(*) AS n_rows, count(*) FILTER (entity_id IS NULL) AS null_entity_id, count(*) FILTER (business_name IS NULL) AS null_business_name, count(*) FILTER (business_address IS NULL) AS null_business_address, count(*) FILTER (country IS NULL) AS null_country, bit_xor(CAST('0x' || substr(md5(concat_ws('|', coalesce(entity_id, 'null'), coalesce(business_name, 'null'), coalesce(business_address, 'null'), coalesce(country, 'null'))), 1, 15) AS BIGINT)) AS checksum FROM e")
 def manifest(spark, d):
     return S.manifest(V.entities(spark, d))
 

@@ -2,10 +2,11 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.operators import blocking, decision, evaluate, features, training
+from lodestar.operators import blocking, decision, evaluate, features, profile, training
 from lodestar.plans import pipeline
 from lodestar.plans import views as V
 from lodestar.sources import entities as S
@@ -169,11 +170,19 @@ def test_pipeline_and_stream(spark, tmp_path):
 
 
 def test_nearest_in_blocks_of_queries(spark):
-    points = [(i, float((i * 37) % 101)) for i in range(30)]
-    q, v = spark.createDataFrame(points, "s1_id long, q double"), spark.createDataFrame(points, "vendor_id long, v double")
-    got = blocking.ann_topk(q, v, 3, -F.abs(F.col("q") - F.col("v")), most=7)
-    want = {(a, b, k + 1) for a, x in points for k, (_, b) in enumerate(sorted((abs(x - y), b) for b, y in points)[:3])}
+    rng = np.random.default_rng(3)
+    points = [(i, [float(x) for x in rng.integers(-3, 4, 4)]) for i in range(60)] + [(60, None), (61, [0.0] * 4), (62, [])]
+    q, v = spark.createDataFrame(points, "s1_id long, q array<double>"), spark.createDataFrame(points, "vendor_id long, v array<double>").repartition(3)
+    got = blocking.ann_topk(q, v, 5, most=17)
+
+    def cosine(x, y):
+        x, y = (np.array(z if z else [0.0] * 4) for z in (x, y))
+        size = np.sqrt((x * x).sum()) * np.sqrt((y * y).sum())
+        return round(float(x @ y / size), 6) if size else 0.0
+
+    want = {(a, b, k + 1) for a, x in points for k, (_, b) in enumerate(sorted((-cosine(x, y), b) for b, y in points)[:5])}
     assert {(r.s1_id, r.vendor_id, r["rank"]) for r in got.collect()} == want
+    assert blocking.ann_topk(q.limit(0), v, 5).count() == 0 and blocking.ann_topk(q, v.limit(0), 5).count() == 0
 
 
 def test_every_hundredth_vector_is_searched(spark):
@@ -181,10 +190,32 @@ def test_every_hundredth_vector_is_searched(spark):
 
     d = "/root/testdata/sf0.001"
     ids = {r.vec_id for r in V.vectors(spark, d).where("vec_id % 100 = 0").collect()}
-    got = catalog.QUERIES["ann_topk_all"](spark, d).collect()
+    got = catalog.QUERIES["ann_topk"](spark, d).collect()
     assert {r.s1_id for r in got} == ids and len(got) == 10 * len(ids) and ids <= {r.vendor_id for r in got if r.vendor_id == r.s1_id}
 
 
+def test_causes_of_errors(spark):
+    from lodestar.operators import evaluate
+
+    rows = [("S1-1", "S2-1", "acme", "acme", "1 st", "2 st", "Acme", "Акме", "US", "IN", 5, 1), ("S1-1", "S2-2", "acme", "acm", None, "2 st", "Acme", "Acm", "US", "US", None, 3), ("S1-2", "S2-3", "b", "b", "x", "x", "B é", "B", None, None, 1, 1)]
+    cols = "s1_id string, vendor_id string, a_name_norm string, b_name_norm string, a_addr_norm string, b_addr_norm string, a_business_name string, b_business_name string, a_country string, b_country string, name_count long, addr_count long"
+    got = {(r.vendor_id, r.cause) for r in evaluate.error_causes(spark.createDataFrame(rows, cols)).collect()}
+    assert got == {("S2-1", c) for c in ("ADDRESS_NOISE", "COMMON_NAME", "COUNTRY_SHIFT", "MULTILINGUAL", "TRANSLITERATION")} | {("S2-2", c) for c in ("COMMON_ADDRESS", "MISSING_ADDRESS", "NAME_NOISE")}
+
+
+def test_bucket_sums(spark):
+    counted = spark.createDataFrame([("a", 2), ("b", 3)], "k string, n long")
+    assert profile.check_buckets(counted, 5) is counted
+    with pytest.raises(ValueError, match="5 of 6"):
+        profile.check_buckets(counted, 6)
+
+
+def test_links_of_a_hub(spark):
+    pairs = [(0, i) for i in range(1, 3000)] + [(5000 + i, 5001 + i) for i in range(70)] + [(9, 9), (8000, 8000)]
+    got = {r.node: r.root for r in decision.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(3000)} | {5000 + i: 5000 for i in range(71)} | {8000: 8000}
+
+
 def test_components_of_all_orders(spark):
     from lodestar.plans import catalog
 
@@ -199,7 +230,7 @@ def test_components_of_all_orders(spark):
     for r in V._table(spark, d, "orders").select("o_custkey").collect():
         a, b = sorted((find(r.o_custkey), find(r.o_custkey * 7 % 1500 + 1)))
         root[b] = a
-    assert {r.node: r.root for r in catalog.QUERIES["components_all"](spark, d).collect()} == {x: find(x) for x in root}
+    assert {r.node: r.root for r in catalog.QUERIES["components"](spark, d).collect()} == {x: find(x) for x in root}
 
 
 def plain_jaro_winkler(a, b):
@@ -228,4 +259,4 @@ def test_jaro_winkler_of_all_names(spark):
     for r in df.withColumn("jw", features.jaro_winkler("a", "b")).collect():
         assert r.jw == pytest.approx(plain_jaro_winkler(r.a, r.b), abs=1e-6), (r.a, r.b)
     d = "/root/testdata/sf0.001"
-    assert catalog.QUERIES["feat_jaro_winkler_all"](spark, d).where("jw is not null").count() == catalog_text._fp(spark, d).count()
+    assert catalog.QUERIES["feat_jaro_winkler"](spark, d).where("jw is not null").count() == catalog_text._fp(spark, d).count()
