@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.boosting import BoostedTrees, Isotonic
-from lodestar.llm.common import as_bytes, blocks
+from lodestar.llm.common import Hashes, as_bytes, blocks
 from lodestar.llm.labelled import byte_rates, crc_of_id, labelled_sample
 
 #: Words that address the reader.
@@ -43,7 +43,7 @@ def _terms(word: str) -> list[str]:
 
 
 class _Codes(dict):
-    """What each word as it stands in a text means to the features; remembered while there are fewer than ``most``."""
+    """What each word as it stands in a text means to the features; words of ``Hashes.longest`` bytes at most are remembered while there are fewer than ``most``."""
 
     def __init__(self, lexicon: dict[str, float], most: int = 150_000):
         super().__init__()
@@ -53,8 +53,6 @@ class _Codes(dict):
         return max(self.lexicon.get(t, 0.0) for t in _terms(word)) if word else 0.0
 
     def __missing__(self, chunk: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
         word = chunk.decode("utf-8", "ignore").lower().strip(_EDGES)
         weight, code = self._weight(word), _PLAIN
         if weight:
@@ -64,7 +62,10 @@ class _Codes(dict):
         elif not word.isalpha() and word:
             bare = "".join(c for c in word.translate(_LOOKS) if c.isalpha())
             code = _HIDDEN if self._weight(bare) >= 2 else _PLAIN
-        self[chunk] = code
+        if len(chunk) <= Hashes.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[chunk] = code
         return code
 
 
@@ -72,10 +73,12 @@ class _Terms(dict):
     """The terms of each word as it stands in a text."""
 
     def __missing__(self, chunk: bytes) -> list[str]:
-        if len(self) >= 100_000:
-            self.clear()
         word = chunk.decode("utf-8", "ignore").lower().strip(_EDGES)
-        self[chunk] = terms = _terms(word) if word else []
+        terms = _terms(word) if word else []
+        if len(chunk) <= Hashes.longest:
+            if len(self) >= 100_000:
+                self.clear()
+            self[chunk] = terms
         return terms
 
 
@@ -199,5 +202,9 @@ def _clean(model: ToxicityModel):
 
 
 def drop_toxic(docs: DataFrame, train: DataFrame, labels: DataFrame, most: int = 12_000) -> DataFrame:
-    """The rows of docs that score under 0.5, with all their columns; the model is fitted on train. One narrow pass."""
+    """The rows of docs that score under 0.5, with all their columns, whatever these are named; the model is fitted on train. One narrow pass.
+
+    Null text counts as empty and is scored like one; equal texts, long ones too, go or stay together; repeated rows are judged each; an empty
+    table stays empty; without labels of both kinds nothing goes unless most known labels are 1.
+    """
     return docs.mapInArrow(_clean(fit_toxicity(train, labels, most)), docs.schema)
