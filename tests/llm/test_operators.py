@@ -357,6 +357,61 @@ def test_trees_and_calibration():
     assert (np.diff(at) >= 0).all() and iso(np.array([2.5]))[0] == pytest.approx(0.5)
 
 
+def test_a_stump_is_the_best_split():
+    """Every split of every feature tried by hand, with its second-order gain and leaves."""
+    rng = np.random.default_rng(6)
+    x, least, ridge = rng.integers(0, 12, (400, 3)).astype(float), 20, 1.0
+    y = (x[:, 1] + rng.normal(0, 2, 400) > 6).astype(float)
+    got = BoostedTrees(trees=1, depth=1, least=least, ridge=ridge, rate=0.2).fit(x, y).margin(x)
+    p = y.mean()
+    g, h, best = p - y, np.full(400, p * (1 - p)), (-1.0, None)
+    for f in range(3):
+        for cut in np.unique(x[:, f])[:-1]:
+            low = x[:, f] <= cut
+            if min(low.sum(), (~low).sum()) >= least:
+                gain = sum(g[s].sum() ** 2 / (h[s].sum() + ridge) for s in (low, ~low)) - g.sum() ** 2 / (h.sum() + ridge)
+                best = max(best, (gain, (f, cut)), key=lambda b: b[0])
+    f, cut = best[1]
+    low = x[:, f] <= cut
+    leaf = [-0.2 * g[s].sum() / (h[s].sum() + ridge) for s in (low, ~low)]
+    assert got == pytest.approx(np.log(p / (1 - p)) + np.where(low, *leaf))
+
+
+def test_isotonic_is_the_least_squares_fit():
+    """Against the minimax formula of monotone regression."""
+    rng = np.random.default_rng(9)
+    x = np.arange(40.0)
+    y = (rng.random(40) < x / 40).astype(float)
+    want = [max(min(y[a : b + 1].mean() for b in range(k, 40)) for a in range(k + 1)) for k in range(40)]
+    assert Isotonic().fit(x, y)(x) == pytest.approx(np.array(want))
+
+
+def test_bradley_terry_finds_the_optimum():
+    """No step away from the weights lowers the loss over the same pairs, whose probabilities by hand have no gradient left."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (300, 4))
+    y = (x @ np.array([1.0, -2.0, 0.5, 0.0]) + rng.normal(0, 1, 300) > 0).astype(int)
+    w = quality.bradley_terry(x, y, 2000, 3.0, seed=5)
+    again = np.random.default_rng(5)
+    d = x[again.choice(np.flatnonzero(y == 1), 2000)] - x[again.choice(np.flatnonzero(y == 0), 2000)]
+    loss = lambda v: np.log1p(np.exp(-(d @ v))).sum() + 1.5 * v @ v
+    assert all(loss(w) < loss(w + step * e) for e in np.eye(4) for step in (-0.05, 0.05)) and w[1] < -1 < 0.5 < w[0]
+
+
+def test_mixing_of_odd_rows(spark):
+    """Null ids, null sources, and repeated rows that fall on the cut; texts go out as often as they are counted."""
+    rows = [(None, "a b c", "x")] * 40 + [(None, f"n {i}", "x") for i in range(20)] + [(i, "w " * (1 + i % 5), ("y", None)[i % 2]) for i in range(60)] + [(7, None, "z"), (8, "", "z")]
+    d = table(spark, rows).repartition(3)
+    got = mixing.mix_sources(d, carry=("source",)).collect()
+    for s in ("x", "y", "z", None):
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(r.size for r in own) and all(r.taken <= 3 * r.size for r in own)
+    again = mixing.mix_sources(d.repartition(5), carry=("source",)).collect()
+    assert Counter(map(str, got)) == Counter(map(str, again))
+    taken = Counter((r.doc_id, r.text, r.source) for r in mixing.repeat_rows(d).select("doc_id", "text", "source").collect())
+    assert sum(taken.values()) == sum(r.times for r in got) and mixing.repeat_rows(d).columns == d.columns
+
+
 def test_mixing(docs, rows, empty):
     got = mixing.mix_sources(docs, carry=("source",)).collect()
     sizes = defaultdict(int)
@@ -447,6 +502,43 @@ def template_family(pairs, seed):
     return lines + [(len(lines) + k, " ".join(passage + tail(130)), "f") for k in range(10)]
 
 
+def near_copies(n, changes, seed, words=200):
+    """Texts of one passage, each with some words of its own."""
+    rng = np.random.default_rng(seed)
+    base, lines = [f"tok{rng.integers(5000)}" for _ in range(words)], []
+    for i in range(n):
+        w = list(base)
+        for k in rng.choice(words, changes, replace=False):
+            w[k] = f"new{i}x{k}"
+        lines.append((i, " ".join(w), "n"))
+    return lines
+
+
+def test_a_large_group_of_near_copies_stays_one_class(spark):
+    """600 texts whose links lie about the threshold: no link between classes, and no class without links."""
+    df, want, sims = brute_classes(spark, near_copies(600, 2, 1))
+    links = sims[np.triu_indices(len(sims), 1)]
+    assert 0.02 < (links >= 0.8).mean() < 0.2 and len(set(want.values())) < 20
+    got = {r.doc_id: r.class_id for r in near_dedup.near_dedup(df.repartition(4)).collect()}
+    a, b = np.nonzero(np.triu(sims >= 0.8, 1))
+    assert np.mean([got[i] == got[j] for i, j in zip(a, b, strict=True)]) >= 0.999
+    assert all(want[i] == want[c] for i, c in got.items())
+
+
+def test_near_dedup_of_odd_rows(spark):
+    """Null and repeated ids, repeated rows, and columns named like those of the operator, with a crowded group."""
+    lines = near_copies(30, 1, 5) + [(None, "one two three four five six", "n"), (None, "other words are here now", "n"), (0, "not like the first of this id", "n"), (40, None, "n"), (41, " ", "n"), (42, "... !", "n"), (None, "one two three four five six", "n")]
+    df = table(spark, lines, False).withColumns({c: F.lit(k) for k, c in enumerate(("id", "_id", "h", "node", "digest", "keys", "stays", "whole", "n", "class", "_h", "root", "key"))})
+    got = near_dedup.near_dedup(df).collect()
+    classes = Counter((r.doc_id, r.class_id) for r in got)
+    assert classes == Counter({**{(i, 0): 1 for i in range(1, 30)}, (0, 0): 2, (None, None): 3, (40, 40): 1, (41, 40): 1, (42, 40): 1})
+    kept = near_dedup.keep_one(df)
+    assert kept.columns == df.columns and kept.where("id <> 0 or _id <> 1 or h <> 2 or n <> 8").isEmpty()
+    texts = Counter(r.text for r in kept.collect())
+    assert texts == Counter({lines[0][1]: 1, "not like the first of this id": 1, "one two three four five six": 1, "other words are here now": 1, None: 1}) or texts[None] + texts[" "] + texts["... !"] == 1
+    assert exact_dedup.keep_one(df).columns == df.columns and exact_dedup.keep_one(df).where("_id <> 1 or h <> 2 or n <> 8").isEmpty()
+
+
 def test_far_members_of_a_crowded_bucket_meet(spark):
     df, want, sims = brute_classes(spark, template_family(20, 4))
     links = sims[np.triu_indices(len(sims), 1)]

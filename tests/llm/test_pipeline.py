@@ -5,6 +5,8 @@ import sys
 from collections import defaultdict
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from lodestar.llm import near_dedup, packing, toxicity
 
@@ -40,6 +42,38 @@ def test_run_gives_the_last_stage(spark):
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(got.columns) and got.count() > 0
 
 
+def odd_tables(spark, folder, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clash = {c: F.lit(k) for k, c in enumerate(("id", "_id", "h", "key", "node", "size", "times", "rank", "score", "row", "whole"))}
+    docs.withColumns(clash).write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{DATA}/labels.parquet").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_run_on_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, and columns named like those of the stages."""
+    long = " ".join(f"w{i % 1999}" for i in range(40_000))
+    rows = [(None, None, None, None, None), (1, "", "en", "a", 0), (2, long, "en", "a", None), (2, long, "en", "a", None), (3, long.replace(" ", "\n"), None, "a", 3), (4, "few words", "en", None, 9), (5, "few words", "en", "b", 9),
+            (None, "no id", "en", "b", 5), (None, "no id either", "en", "b", 5), (6, "q" * 50_000, "fr", "b", 1)]
+    folder = odd_tables(spark, tmp_path / "odd", rows)
+    docs, columns = spark.read.parquet(f"{folder}/documents.parquet"), None
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, folder)
+        columns = columns or docs.columns
+        assert k == 4 or out.columns == columns
+        out.write.parquet(str(tmp_path / f"stage{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"stage{k}"))
+        if k == 2:  # one of the empty texts, one long text, one of the few words, both without an id, the letters
+            assert sorted(len(r.text or "") for r in docs.collect()) == [0, 5, 9, 12, 50_000, len(long)]
+            assert docs.where("id <> 0 or h <> 2 or whole <> 10").isEmpty()
+    assert docs.where("length > 4096 or offset + length > 4096").isEmpty() and docs.count() > 0
+
+
+def test_run_on_empty_tables(spark, tmp_path):
+    folder = odd_tables(spark, tmp_path / "none", [])
+    assert corpus_pipeline.run(spark, folder).count() == 0
+
+
 def test_entry_imports_without_the_subpackage():
     root = Path(__file__).resolve().parents[2]
     code = "import sys; sys.modules['lodestar.llm'] = None; import __spark_entry__ as e; assert 'macro_f05' in e.queries() and not any(k.startswith('op1') for k in e.queries()); print(len(e.oracle_sql()))"
