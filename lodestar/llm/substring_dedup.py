@@ -8,13 +8,15 @@ windows decide nothing, since each of their words lies in a repeated window of `
 
 Scale: a task sends a short window once, however often it holds it (what repeats inside a task is known to repeat), so a
 passage that stands in a third of all documents costs one row for each block of documents. Documents whose words equal those
-of a document with a smaller id are copies: all their windows repeat, and they leave the search before the last level.
+of a document with a smaller id are copies: all their windows repeat, and they leave the search after the first level. Documents
+without candidates are done where they stand; only the texts of the others are joined with their candidates, by id (of up to
+``most_broadcast`` ids all tasks get the list, so that the others are never shuffled).
 The last level aggregates the earliest place of each surviving window and returns these places alone; what is a candidate and
-not an earliest place goes. Nothing is collected or broadcast.
+not an earliest place goes.
 
 Defined results: null text has no words; null doc_id sorts first and stays null; rows that share a doc_id count as one
-document (a window stays if one of them has it first, at that place); documents under ``length`` words lose nothing; other
-columns of the input are ignored.
+document (a window stays if one of them has it first, at that place), but only those rows are copies whose words stand
+under a smaller id; documents under ``length`` words lose nothing; an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -78,7 +80,7 @@ def _anchors(short: int, length: int):
             ids = np.asarray(batch.column("id"))
             words = [x.split() for x in as_bytes(batch.column("text"))]
             flat, at = word_hashes(words, known)
-            starts = _spread(batch.column("runs"), at) if "runs" in batch.schema.names else None
+            starts = _spread(batch.column("runs"), at, length) if "runs" in batch.schema.names else None
             starts, best, place = _named(flat, at, short, length, starts)
             if not len(starts):
                 continue
@@ -111,12 +113,14 @@ def _anchors(short: int, length: int):
     return run
 
 
-def _spread(runs: pa.ListArray, at: np.ndarray) -> np.ndarray:
+def _spread(runs: pa.ListArray, at: np.ndarray, length: int) -> np.ndarray:
     """The window starts that the runs of each document cover, in order, as places in the flat array of words."""
     counts = pa.compute.list_value_length(runs).fill_null(0).to_numpy(zero_copy_only=False)
     start, n = runs.flatten().flatten()
-    base = np.repeat(at[:-1], counts)
-    return np.unique(_ranges(np.asarray(start).astype(np.int64) + base, np.asarray(n).astype(np.int64)))
+    base, last = np.repeat(at[:-1], counts), np.repeat(at[1:] - length, counts)
+    first = np.asarray(start).astype(np.int64) + base
+    # of rows that share an id, runs of one may pass the end of another
+    return np.unique(_ranges(first, np.clip(last + 1 - first, 0, np.asarray(n).astype(np.int64))))
 
 
 def _survivors(anchors: DataFrame) -> DataFrame:
@@ -129,16 +133,19 @@ def _survivors(anchors: DataFrame) -> DataFrame:
 def _sequence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in blocks(batches):
         words = [x.split() for x in as_bytes(batch.column("text"))]
-        digest = [hashlib.sha256(b" ".join(w)).digest()[:16] for w in words]
-        yield pa.record_batch([batch.column("id"), pa.array([len(w) for w in words], pa.int32()), pa.array(digest, pa.binary())], names=["id", "words", "digest"])
+        yield pa.record_batch([batch.column("id"), pa.array([len(w) for w in words], pa.int64()), pa.array([_digest(w) for w in words], pa.binary())], names=["id", "n_words", "sha"])
 
 
-def _copies(texts: DataFrame, length: int) -> DataFrame:
-    """Ids of documents whose words, ``length`` or more, are those of a document with a smaller id."""
-    rows = texts.mapInArrow(_sequence, "id long, words int, digest binary").where(F.col("words") >= length)
-    first = rows.groupBy("digest").agg(F.min("id").alias("id"))
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.sha256(b" ".join(words)).digest()
+
+
+def _copies(rows: DataFrame, length: int) -> DataFrame:
+    """id and sha of documents whose words, ``length`` or more, are those of a document with a smaller id."""
+    long = rows.where(F.col("n_words") >= length).select("id", "sha")
+    first = materialize(long.groupBy("sha").agg(F.min("id").alias("id")), "first")
     # the id is part of the key: no large group of copies meets in one task
-    return rows.join(first, ["digest", "id"], "left_anti").select("id").distinct().withColumn("copy", F.lit(True))
+    return materialize(long.join(first, ["sha", "id"], "left_anti").distinct(), "copies")
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,35 +154,31 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("id"), pa.array([z.compress(x) for x in as_bytes(batch.column("text"))], pa.binary())], names=["id", "packed"])
 
 
-def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents without candidates are done; the others keep their text for the next level."""
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that are copies go; the others have their text again."""
     z = zstandard.ZstdDecompressor()
     for batch in blocks(batches, 1 << 20):
-        copy, packed, runs = batch.column("copy").to_pylist(), batch.column("packed").to_pylist(), batch.column("runs")
-        words = [z.decompress(x).split() for x in packed]
-        going = [k if r and not c else None for k, (c, r) in enumerate(zip(copy, runs.is_valid().to_pylist(), strict=True))]
-        yield pa.record_batch(
-            [
-                batch.column("id"),
-                pa.array([len(w) for w in words], pa.int64()),
-                pa.array([len(w) if c else 0 for w, c in zip(words, copy, strict=True)], pa.int64()),
-                pa.array([hashlib.sha256(b"" if c else b" ".join(w)).hexdigest() for w, c in zip(words, copy, strict=True)]),
-                pa.array([None if k is None else packed[k] for k in going], pa.binary()),
-                runs.take(pa.array(going, pa.int32())),
-            ],
-            names=["id", "n_words", "n_removed", "kept_sha256", "packed", "runs"],
-        )
+        texts = [z.decompress(x) for x in batch.column("packed").to_pylist()]
+        stays = [not c or _digest(x.split()) not in c for x, c in zip(texts, batch.column("copied").to_pylist(), strict=True)]
+        yield pa.record_batch([batch.column("id"), pa.array(texts, pa.binary()).cast(pa.string()), batch.column("runs")], names=["id", "text", "runs"]).filter(pa.array(stays))
+
+
+def _candidates(texts: DataFrame, runs: DataFrame, most_broadcast: int) -> DataFrame:
+    """id, text and runs of the documents that runs (id, runs, copied) has. Other texts aren't shuffled while the ids are few."""
+    ids = runs.select("id")
+    some = texts.join(F.broadcast(ids), "id", "left_semi") if runs.count() <= most_broadcast else texts  # 8 bytes an id
+    return some.mapInArrow(_packed, "id long, packed binary").join(runs, "id").mapInArrow(_unpacked, "id long, text string, runs array<struct<start:int,n:int>>")
 
 
 def _places(length: int):
     """The surviving windows of the last level, each once a block, at its earliest place there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, z = Hashes(), zstandard.ZstdDecompressor()
+        known = Hashes()
         for batch in blocks(batches, 1 << 20):
             ids = np.asarray(batch.column("id"))
-            flat, at = word_hashes([z.decompress(x).split() for x in batch.column("packed").to_pylist()], known)
-            starts = _spread(batch.column("runs"), at)
+            flat, at = word_hashes([x.split() for x in as_bytes(batch.column("text"))], known)
+            starts = _spread(batch.column("runs"), at, length)
             if not len(starts):
                 continue
             doc = np.searchsorted(at, starts, "right") - 1
@@ -205,14 +208,13 @@ def _cut(length: int):
     """Candidate windows that aren't an earliest place go, with all their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdDecompressor()
         for batch in blocks(batches, 1 << 20):
-            words = [z.decompress(x).split() for x in batch.column("packed").to_pylist()]
+            words = [x.split() for x in as_bytes(batch.column("text"))]
             at = np.zeros(len(words) + 1, np.int64)
             np.cumsum([len(w) for w in words], out=at[1:])
             firsts = batch.column("firsts")
             kept = np.asarray(firsts.flatten()).astype(np.int64) + np.repeat(at[:-1], pa.compute.list_value_length(firsts).fill_null(0).to_numpy(zero_copy_only=False))
-            goes = np.setdiff1d(_spread(batch.column("runs"), at), kept, assume_unique=True)
+            goes = np.setdiff1d(_spread(batch.column("runs"), at, length), kept)
             gone = np.zeros(at[-1] + 1, np.int32)
             gone[goes] += 1
             gone[goes + length] -= 1  # goes are distinct, so no two of them fall on one place
@@ -221,7 +223,7 @@ def _cut(length: int):
             yield pa.record_batch(
                 [
                     batch.column("id"),
-                    batch.column("n_words"),
+                    pa.array([len(w) for w in words], pa.int64()),
                     pa.array([len(m) - sum(m) for m in masks], pa.int64()),
                     pa.array([hashlib.sha256(b" ".join(compress(w, m))).hexdigest() for w, m in zip(words, masks, strict=True)]),
                 ],
@@ -231,19 +233,31 @@ def _cut(length: int):
     return run
 
 
-def substring_dedup(docs: DataFrame, length: int = 20, first: int = 10) -> DataFrame:
+def substring_dedup(docs: DataFrame, length: int = 20, first: int = 5, most_broadcast: int = 1_000_000) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each document once the windows that start earlier elsewhere are gone."""
     levels = _lengths(first, length)
     texts = with_id(docs)
+    rows = materialize(texts.mapInArrow(_sequence, "id long, n_words long, sha binary"), "sequences")
+    copies = _copies(rows, length)
+    own = rows.join(copies, ["id", "sha"], "left_anti")
     schema = "key long, known int, id long, start int, n int"
-    runs = _survivors(texts.mapInArrow(_anchors(levels[0], length), schema))
+    # rows of one id are few, so are its copies under other ids
+    copied = copies.groupBy("id").agg(F.collect_set("sha").alias("copied"))
+
+    def going(runs: DataFrame) -> DataFrame:
+        return materialize(runs.join(own.select("id"), "id", "left_semi").join(copied, "id", "left"), "runs")
+
+    runs = going(_survivors(texts.mapInArrow(_anchors(levels[0], length), schema)))
+    held = _candidates(texts, runs, most_broadcast)
     for short in levels[1:-1]:
-        runs = _survivors(texts.join(materialize(runs, "runs"), "id").mapInArrow(_anchors(short, length), schema))
-    packed = texts.mapInArrow(_packed, "id long, packed binary")
-    joined = packed.join(runs, "id", "left").join(_copies(texts, length), "id", "left").select("id", "packed", "runs", F.coalesce("copy", F.lit(False)).alias("copy"))
-    judged = materialize(joined.mapInArrow(_judged, "id long, n_words long, n_removed long, kept_sha256 string, packed binary, runs array<struct<start:int,n:int>>"), "judged")
-    places = judged.where("packed is not null").select("id", "packed", "runs").mapInArrow(_places(length), "h long, g int, id long, start int")
+        held = materialize(held, "candidates")
+        runs = going(_survivors(held.mapInArrow(_anchors(short, length), schema)))
+        held = _candidates(held.select("id", "text"), runs, most_broadcast)
+    held = materialize(held, "candidates")
+    places = held.mapInArrow(_places(length), "h long, g int, id long, start int")
     firsts = places.repartition("h").sortWithinPartitions("h", "g", "id", "start").mapInArrow(_first, "id long, start int").groupBy("id").agg(F.collect_set("start").alias("firsts"))
-    going, done = judged.where("packed is not null"), judged.where("packed is null").select("id", "n_words", "n_removed", "kept_sha256")
-    cut = going.join(firsts, "id", "left").mapInArrow(_cut(length), "id long, n_words long, n_removed long, kept_sha256 string")
-    return cut.unionByName(done).select(doc_id_of(), "n_words", "n_removed", "kept_sha256")
+    cut = held.join(firsts, "id", "left").mapInArrow(_cut(length), "id long, n_words long, n_removed long, kept_sha256 string")
+    none = hashlib.sha256(b"").hexdigest()
+    gone = rows.join(copies, ["id", "sha"], "left_semi").select("id", "n_words", F.col("n_words").alias("n_removed"), F.lit(none).alias("kept_sha256"))
+    clean = own.join(runs.select("id"), "id", "left_anti").select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.lower(F.hex("sha")).alias("kept_sha256"))
+    return cut.unionByName(gone).unionByName(clean).select(doc_id_of(), "n_words", "n_removed", "kept_sha256")

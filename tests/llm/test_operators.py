@@ -70,8 +70,8 @@ def test_substring_dedup(docs, rows, empty):
     got = substring_dedup.substring_dedup(docs).collect()
     assert {r.doc_id: tuple(r)[1:] for r in got} == want and len(got) == len(want)
     assert substring_dedup.substring_dedup(empty).count() == 0
-    deeper = substring_dedup.substring_dedup(docs, first=5).collect()
-    assert {r.doc_id: tuple(r)[1:] for r in deeper} == want
+    for options in ({"first": 10}, {"first": 20}, {"most_broadcast": 3}):
+        assert {r.doc_id: tuple(r)[1:] for r in substring_dedup.substring_dedup(docs, **options).collect()} == want
     with pytest.raises(ValueError):
         substring_dedup.substring_dedup(docs, length=20, first=7)
 
@@ -80,6 +80,11 @@ def test_rows_that_share_an_id_are_one_document(spark):
     text = " ".join(map(str, range(40)))
     got = substring_dedup.substring_dedup(table(spark, [(1, text, "a"), (1, text, "a"), (2, text, "a")])).collect()
     assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0), (1, 0), (2, 40)]
+    # one row of an id copies a smaller id, another has a text of its own, a third is shorter than the candidates of the others
+    own = " ".join(f"u{k}" for k in range(60))
+    rows = [(1, text, "a"), (2, text, "a"), (2, own, "a"), (2, "short", "a"), (3, f"{own} {own[:200]} {text}", "a"), (None, f"{text} z", "a")]
+    got = substring_dedup.substring_dedup(table(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in got)[:5] == [(0, 41, 0), (1, 40, 40), (2, 1, 0), (2, 40, 40), (2, 60, 0)]
 
 
 def test_pii(spark, docs, empty):
