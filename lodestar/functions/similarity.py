@@ -98,9 +98,18 @@ def indel(a: str, b: str) -> float:
 
 
 def partial_ratio(a: str, b: str) -> float:
-    """The best ``indel`` of the shorter string against windows of its length."""
-    a, b = sorted((a, b), key=len)
-    return max((indel(a, b[k : k + len(a)]) for k in range(len(b) - len(a) + 1)), default=1.0) if a else float(not b)
+    """The best ``indel`` of the shorter string against stretches of the other: of its length, and shorter ones at either end."""
+    if not a or not b:
+        return float(a == b)
+    if len(a) == len(b):
+        return max(_stretches(a, b), _stretches(b, a))
+    return _stretches(*sorted((a, b), key=len))
+
+
+def _stretches(a: str, b: str) -> float:
+    n = len(a)
+    whole = [b[k : k + n] for k in range(len(b) - n + 1)]
+    return max(indel(a, x) for x in (*whole, *(b[:k] for k in range(1, n)), *(b[-k:] for k in range(1, n))))
 
 
 def token_sort(a: str, b: str) -> float:
@@ -115,10 +124,23 @@ def token_set(a: str, b: str) -> float:
     return max(indel(both, left), indel(both, right), indel(left, right)) if both else indel(left, right)
 
 
+def partial_tokens(a: str, b: str) -> float:
+    """1 for a common token, else the best partial ratio of sorted tokens, all or those of one side alone."""
+    x, y = a.split(), b.split()
+    if set(x) & set(y):
+        return 1.0
+    return max(partial_ratio(" ".join(sorted(x)), " ".join(sorted(y))), partial_ratio(" ".join(sorted(set(x))), " ".join(sorted(set(y)))))
+
+
 def weighted_ratio(a: str, b: str) -> float:
-    """The best of plain, token (x 0.95) and, for strings of unequal length, partial (x 0.9) ratios."""
-    long = max(len(a), len(b)) >= 1.5 * max(1, min(len(a), len(b)))
-    return max(indel(a, b), 0.95 * token_sort(a, b), 0.95 * token_set(a, b), 0.9 * partial_ratio(a, b) if long else 0.0)
+    """The best of the plain ratio and token ratios x 0.95; of lengths 1.5 apart or more, partial ratios x 0.9 (x 0.6 over 8) take their place. 0 for an empty string."""
+    if not a or not b:
+        return 0.0
+    apart = max(len(a), len(b)) / min(len(a), len(b))
+    if apart < 1.5:
+        return max(indel(a, b), 0.95 * token_sort(a, b), 0.95 * token_set(a, b))
+    scale = 0.9 if apart <= 8 else 0.6
+    return max(indel(a, b), scale * partial_ratio(a, b), 0.95 * scale * partial_tokens(a, b))
 
 
 def metaphone(word: str) -> str:

@@ -101,6 +101,29 @@ def char_grams(df: DataFrame, n: int = 3, column: str = "business_name") -> Data
     return _keys(df, text.grams(F.lower(F.coalesce(F.col(column), F.lit(""))), n))
 
 
+def ngram_join(s1: DataFrame, vendors: DataFrame, n: int = 3, least: float = 0.5, column: str = "business_name") -> DataFrame:
+    """s1_id, vendor_id, jaccard of the pairs of a country whose sets of n-grams have a Jaccard similarity of ``least`` or more, exactly.
+
+    Two such sets of sizes p and q share one of the first p - ceil(least p) + 1 grams of the one and of the first q - ceil(least q) + 1 of the
+    other, if both are in one order. Rarest grams come first, so what everybody has joins nobody.
+    """
+    ab = char_grams(s1, n, column).withColumn("left", F.lit(True)).unionByName(char_grams(vendors, n, column).withColumn("left", F.lit(False)))
+    known = ab.groupBy("country", "key").agg(F.count(F.lit(1)).alias("df"))
+    sets = ab.join(known, ["country", "key"]).groupBy("left", "country", "entity_id").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("g"))
+    sets = sets.select("left", "country", "entity_id", F.transform("g", lambda x: x.key).alias("grams"))
+    # a hair less than least x size: a quotient that equals least must not fall to rounding
+    first = F.size("grams") - F.ceil(F.size("grams") * F.lit(least) - 1e-9).cast("int") + 1
+    keyed = sets.withColumn("key", F.explode(F.slice("grams", F.lit(1), first)))
+    a = keyed.where("left").select("country", "key", F.col("entity_id").alias("s1_id"))
+    b = keyed.where("not left").select("country", "key", F.col("entity_id").alias("vendor_id"))
+    found = a.join(b, ["country", "key"]).select("s1_id", "vendor_id").distinct()
+    side = lambda left, c: sets.where(F.col("left") == left).select(F.col("entity_id").alias(c), F.col("grams").alias(f"{c}_grams"))
+    both = found.join(side(True, "s1_id"), "s1_id").join(side(False, "vendor_id"), "vendor_id")
+    shared = F.size(F.array_intersect("s1_id_grams", "vendor_id_grams"))
+    scored = both.select("s1_id", "vendor_id", (shared / (F.size("s1_id_grams") + F.size("vendor_id_grams") - shared)).alias("jaccard"))
+    return scored.where(F.col("jaccard") >= least)
+
+
 def pairs(s1: DataFrame, vendors: DataFrame) -> DataFrame:
     """s1_id, vendor_id, once for each pair with a common key in a country."""
     a = s1.select(F.col("entity_id").alias("s1_id"), "country", "key")

@@ -96,6 +96,26 @@ def cross() -> dict[str, Column]:
     return {"same_country": F.col("a_country") == F.col("b_country"), "sources": F.concat_ws("-", F.substring("s1_id", 1, 2), F.substring("vendor_id", 1, 2))}
 
 
+def affixes(c: str = "name_norm") -> dict[str, Column]:
+    """How many characters both begin and end with."""
+    a, b = _ab(c)
+
+    def shared(x: Column, y: Column) -> Column:
+        some = F.least(F.length(x), F.length(y))
+        same = F.filter(F.sequence(F.lit(1), F.greatest(some, F.lit(1))), lambda i: F.substring(x, F.lit(1), i) == F.substring(y, F.lit(1), i))
+        return F.when(some > 0, F.size(same)).otherwise(0)
+
+    return {"prefix": shared(a, b), "suffix": shared(F.reverse(a), F.reverse(b))}
+
+
+def sound_alikes(c: str = "name_norm") -> Column:
+    """Whether tokens that only one of the names has are spellings of one word by the table of sound-alikes."""
+    a, b = (text.tokens_of(x) for x in _ab(c))
+    known = F.create_map(*(F.lit(x) for pair in text.SOUND_ALIKE_TOKENS.items() for x in pair))
+    word = lambda t: F.transform(t, lambda x: F.coalesce(known[x], x))
+    return F.arrays_overlap(word(F.array_except(a, b)), word(F.array_except(b, a)))
+
+
 def retrieval(cand: DataFrame) -> DataFrame:
     """Evidence of retrieval: how many strategies agree, and how many entities a vendor record is a candidate of."""
     n = F.count(F.lit(1)).over(Window.partitionBy("vendor_id"))

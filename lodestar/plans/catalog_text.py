@@ -177,16 +177,24 @@ def block_rare_tokens(spark, d):
     return blocking.pairs(blocking.rare_tokens(V.reference(e), df), blocking.rare_tokens(V.vendors(e), df))
 
 
-_GRAMS = "list_distinct(list_transform(range(1, length(business_name) - 3), lambda i: substr(lower(business_name), i, 5)))"
+def _ngram_sql(n: int) -> str:
+    grams = f"list_distinct(list_transform(range(1, length(business_name) - {n - 2}), lambda i: substr(lower(business_name), i, {n})))"
+    return E + f", g AS (SELECT entity_id, country, unnest({grams}) AS key FROM e), n AS (SELECT entity_id, count(*) AS n FROM g GROUP BY 1), c AS (SELECT a.entity_id AS s1_id, b.entity_id AS vendor_id, count(*) AS common FROM g a JOIN g b ON a.country = b.country AND a.key = b.key WHERE a.entity_id LIKE 'S1-%' AND b.entity_id NOT LIKE 'S1-%' GROUP BY 1, 2) SELECT s1_id, vendor_id, round(common / (x.n + y.n - common)::DOUBLE, 6) AS jaccard FROM c JOIN n x ON s1_id = x.entity_id JOIN n y ON vendor_id = y.entity_id WHERE common / (x.n + y.n - common)::DOUBLE >= 0.5"
 
 
-@query(E + f", g AS (SELECT entity_id, country, unnest({_GRAMS}) AS key FROM e), n AS (SELECT entity_id, count(*) AS n FROM g GROUP BY 1), c AS (SELECT a.entity_id AS s1_id, b.entity_id AS vendor_id, count(*) AS common FROM g a JOIN g b ON a.country = b.country AND a.key = b.key WHERE a.entity_id LIKE 'S1-%' AND b.entity_id NOT LIKE 'S1-%' GROUP BY 1, 2) SELECT s1_id, vendor_id, round(common / (x.n + y.n - common)::DOUBLE, 6) AS jaccard FROM c JOIN n x ON s1_id = x.entity_id JOIN n y ON vendor_id = y.entity_id WHERE common / (x.n + y.n - common)::DOUBLE >= 0.5")
+@query(_ngram_sql(3))
+def char_ngram3_block(spark, d):
+    return blocking.ngram_join(*_sides(spark, d), 3)
+
+
+@query(_ngram_sql(4))
+def char_ngram4_block(spark, d):
+    return blocking.ngram_join(*_sides(spark, d), 4)
+
+
+@query(_ngram_sql(5))
 def char_ngram_block(spark, d):
-    a, b = (blocking.char_grams(x, 5) for x in _sides(spark, d))
-    n = lambda k, c: k.groupBy(F.col("entity_id").alias(c)).agg(F.count(F.lit(1)).alias(f"n_{c}"))
-    hits = a.withColumnRenamed("entity_id", "s1_id").join(b.withColumnRenamed("entity_id", "vendor_id"), ["country", "key"]).groupBy("s1_id", "vendor_id").agg(F.count(F.lit(1)).alias("c"))
-    both = hits.join(n(a, "s1_id"), "s1_id").join(n(b, "vendor_id"), "vendor_id")
-    return both.select("s1_id", "vendor_id", (F.col("c") / (F.col("n_s1_id") + F.col("n_vendor_id") - F.col("c"))).alias("jaccard")).where("jaccard >= 0.5")
+    return blocking.ngram_join(*_sides(spark, d), 5)
 
 
 _STRATEGIES = {"name_prefix": (blocking.name_prefix, _PREFIX), "postcode": (blocking.postcode, _POST), "soundex": (blocking.name_soundex, f"[{_sound(_FIRST)}]")}
@@ -354,6 +362,22 @@ def feat_numbers(spark, d):
     return _out(_fp(spark, d), **features.numbers())
 
 
+_SAME = "len(list_filter(range(1, least(length({0}), length({1})) + 1), lambda i: substr({0}, 1, i) = substr({1}, 1, i)))"
+
+
+@query(FP + f" SELECT s1_id, vendor_id, {_SAME.format('x', 'y')} AS prefix, {_SAME.format('reverse(x)', 'reverse(y)')} AS suffix FROM fp")
+def feat_affixes(spark, d):
+    return _out(_fp(spark, d), **features.affixes())
+
+
+_ALIKE = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in text.SOUND_ALIKE_TOKENS.items()) + "}"
+
+
+@query(FP + f", so AS (SELECT s1_id, vendor_id, {_t('x')} AS p, {_t('y')} AS q FROM fp) SELECT s1_id, vendor_id, list_has_any(list_transform(list_filter(p, lambda z: NOT list_contains(q, z)), lambda z: coalesce({_ALIKE}[z], z)), list_transform(list_filter(q, lambda z: NOT list_contains(p, z)), lambda z: coalesce({_ALIKE}[z], z))) AS sound_alike FROM so")
+def feat_sound_alike(spark, d):
+    return _out(_fp(spark, d), sound_alike=features.sound_alikes())
+
+
 @query(FP + " SELECT s1_id, vendor_id, x <> '' AND contains(ay, x) AS name_in_address FROM fp")
 def feat_name_in_addr(spark, d):
     return _out(_fp(spark, d), name_in_address=features.name_in_address())

@@ -99,8 +99,28 @@ def submission(spine: DataFrame, emitted: DataFrame) -> DataFrame:
 
 
 def write_submission(found: DataFrame, path: str) -> None:
-    """One tab-separated file in the order of row_idx; empty fields stay empty."""
-    found.repartition(1).sortWithinPartitions("row_idx").select("source1_entity_id", "matched_entity_ids").write.mode("overwrite").csv(path, sep="\t", header=True, quote="", emptyValue="")
+    """A folder with one tab-separated file in the order of row_idx; empty fields stay empty.
+
+    Rows are sorted and written by ranges, and the files then appended to each other as bytes, so that no task holds more than a range.
+    """
+    spark, parts = found.sparkSession, f"{path.rstrip('/')}.parts"
+    ranges = found.repartitionByRange("row_idx").sortWithinPartitions("row_idx").select("source1_entity_id", "matched_entity_ids")
+    ranges.write.mode("overwrite").csv(parts, sep="\t", header=False, quote="", emptyValue="")
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    source, target = hadoop.fs.Path(parts), hadoop.fs.Path(path)
+    files = source.getFileSystem(conf)
+    files.delete(target, True)
+    files.mkdirs(target)
+    out = files.create(hadoop.fs.Path(target, "part-00000.csv"))
+    try:
+        out.write(bytearray(b"source1_entity_id\tmatched_entity_ids\n"))
+        for name in sorted(s.getPath().getName() for s in files.listStatus(source) if s.getPath().getName().startswith("part-")):
+            part = files.open(hadoop.fs.Path(source, name))
+            hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+            part.close()
+    finally:
+        out.close()
+    files.delete(source, True)
 
 
 def validate_submission(found: DataFrame, spine: DataFrame, vendors: DataFrame) -> DataFrame:

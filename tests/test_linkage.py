@@ -203,6 +203,13 @@ def test_causes_of_errors(spark):
     assert got == {("S2-1", c) for c in ("ADDRESS_NOISE", "COMMON_NAME", "COUNTRY_SHIFT", "MULTILINGUAL", "TRANSLITERATION")} | {("S2-2", c) for c in ("COMMON_ADDRESS", "MISSING_ADDRESS", "NAME_NOISE")}
 
 
+def test_affixes_and_sound_alikes(spark):
+    rows = [("acme consultants", "acme consultancy", 14, 0, True), ("", "x", 0, 0, False), ("solutions a", "solution a", 8, 2, True), ("same", "same", 4, 4, False), ("été", "étés", 3, 0, False)]
+    df = spark.createDataFrame(rows, "a_name_norm string, b_name_norm string, p int, s int, alike boolean")
+    got = df.select("p", "s", "alike", *(v.alias(k) for k, v in features.affixes().items()), features.sound_alikes().alias("found")).collect()
+    assert all((r.p, r.s, r.alike) == (r.prefix, r.suffix, r.found) for r in got), got
+
+
 def test_bucket_sums(spark):
     counted = spark.createDataFrame([("a", 2), ("b", 3)], "k string, n long")
     assert profile.check_buckets(counted, 5) is counted
