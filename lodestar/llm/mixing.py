@@ -38,8 +38,9 @@ def order_of(seed: int, column: str = "doc_id", text: str = "text") -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), own)), 1, 12), 16, 10).cast("long")
 
 
-def _before(df: DataFrame, order: list[str], sums: dict[str, str], parts: int) -> DataFrame:
-    """df with, for each name in sums, the sum of that column over all rows that come before in order: by range partitions and their totals."""
+def _before(df: DataFrame, order: list[str], sums: dict[str, str], each: int) -> DataFrame:
+    """df with, for each name in sums, the sum of that column over all rows that come before in order: by ranges of about ``each`` rows and their totals."""
+    parts = max(1, -(-df.count() // each))
     ranged = materialize(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranged")
     totals = ranged.groupBy("_part").agg(*(F.sum(c).alias(f"_{n}") for n, c in sums.items()))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
@@ -48,11 +49,11 @@ def _before(df: DataFrame, order: list[str], sums: dict[str, str], parts: int) -
     return ranged.join(F.broadcast(offsets), "_part").select(*df.columns, *((F.col(f"_{n}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(n) for n, c in sums.items()))
 
 
-def water_filling(sources: DataFrame, epochs: float = 3.0, parts: int = 64) -> DataFrame:
+def water_filling(sources: DataFrame, epochs: float = 3.0, each: int = 100_000) -> DataFrame:
     """sources: source_size, weight, rank (and others). Adds target."""
     both = sources.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
     rated = sources.withColumn("ratio", epochs * F.col("source_size") / F.col("weight"))
-    filled = _before(rated, ["ratio", "rank"], {"less": "source_size", "lighter": "weight"}, parts)
+    filled = _before(rated, ["ratio", "rank"], {"less": "source_size", "lighter": "weight"}, each)
     level = (F.lit(float(both.size or 0)) - epochs * F.col("less")) / (F.lit(float(both.weight or 0)) - F.col("lighter"))
     # the level of the first source that isn't clamped holds for it and all after it
     at = filled.withColumn("level", level).where("ratio >= level").agg(F.min(F.struct("ratio", "rank", "level")).alias("at")).first().at
@@ -65,10 +66,10 @@ def mix_sources(docs: DataFrame, carry: tuple[str, ...] = (), **options) -> Data
     return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times", *(F.col(f"_carry_{c}").alias(c) for c in carry))
 
 
-def _mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: float = 3.0, seed: int = 42, slices: int = 4096, most_broadcast: int = 16 << 20, parts: int = 64, carry: tuple[str, ...] = ()) -> DataFrame:
+def _mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: float = 3.0, seed: int = 42, slices: int = 4096, most_broadcast: int = 16 << 20, each: int = 100_000, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, times, and _carry_... for each column to carry.
 
-    Sources in order of code points, null last, weigh weights[0], weights[1], ... and so on around.
+    Sources in order of code points, null last, weigh weights[0], weights[1], ... and so on around. each: sources that one task ranks and fills.
     """
     width = 2**48 // slices
     none, source = F.col("source").isNull(), F.coalesce(F.col("source").cast("string"), F.lit(""))
@@ -79,10 +80,10 @@ def _mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: float
     key = ["_none", "_source"]
     sums = materialize(rows.groupBy(*key, "_slice").agg(F.sum("size").alias("held")), "slices")
     per_source = sums.groupBy(*key).agg(F.sum("held").alias("source_size"), F.lit(1).alias("one"))
-    ranked = _before(per_source, key, {"rank": "one"}, parts).drop("one")
+    ranked = _before(per_source, key, {"rank": "one"}, each).drop("one")
     weighed = materialize(ranked.withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("rank") % len(weights) + 1).cast("int"))), "weighed")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    filled = water_filling(weighed, epochs, parts).withColumn("whole", whole).withColumn("spare", F.col("target") - F.col("whole") * F.col("source_size"))
+    filled = water_filling(weighed, epochs, each).withColumn("whole", whole).withColumn("spare", F.col("target") - F.col("whole") * F.col("source_size"))
     # the slice in which each source's rest runs out, and what the slices before it hold
     up_to = Window.partitionBy(*key).orderBy("_slice")
     slice_of = (

@@ -412,7 +412,7 @@ def test_mixing_of_odd_rows(spark):
         own = [r for r in got if r.source == s]
         assert abs(sum(r.taken for r in own) - own[0].target) <= max(r.size for r in own) and all(r.taken <= 3 * r.size for r in own)
     again = mixing.mix_sources(d.repartition(5), carry=("source",)).collect()
-    assert Counter(map(str, got)) == Counter(map(str, again))
+    assert Counter(map(str, got)) == Counter(map(str, again)) == Counter(map(str, mixing.mix_sources(d, carry=("source",), each=1, most_broadcast=0).collect()))
     taken = Counter((r.doc_id, r.text, r.source) for r in mixing.repeat_rows(d).select("doc_id", "text", "source").collect())
     assert sum(taken.values()) == sum(r.times for r in got) and mixing.repeat_rows(d).columns == d.columns
 
