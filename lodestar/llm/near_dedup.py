@@ -196,7 +196,7 @@ def _packed(size: int, table):
             out = []
             for x, node, digest, crowded in zip(as_bytes(batch.column("text")), *(batch.column(c).to_pylist() for c in ("node", "digest", "crowded")), strict=True):
                 u, n, own = _shingles(x, known, size)
-                if own == digest:  # else another text under the same id
+                if own == digest:
                     marks = sample(u, _weights(u, n, weights), MARKS, seed=2).astype(np.uint8).tobytes() if crowded else b""
                     out.append((node, z.compress(x), len(x), marks))
             if out:
@@ -409,13 +409,13 @@ def _far_links(crowd: DataFrame, keyed: DataFrame, packed: DataFrame, links: Dat
 
 
 def _links(texts: DataFrame, keyed: DataFrame, size: int, threshold: float, table, few: int = 8, beside: int = 8, most_broadcast: int = 1_000_000) -> DataFrame:
-    """Verified links (a, b) of nodes, enough to join the classes of all buckets. keyed: node, first (an id), digest, keys (one for each band)."""
+    """Verified links (a, b) of nodes, enough to join the classes of all buckets. texts: id, h (of the text), text; keyed: node, first (an id), h, digest, keys (one for each band)."""
     spread = lambda df: F.broadcast(df) if df.count() <= most_broadcast else df  # noqa: E731  written tables of a few numbers a row
     each_key = keyed.select("node", F.explode("keys").alias("key"))
     shared = materialize(each_key.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
     members = materialize(each_key.join(spread(shared), "key"), "members")
-    wanted = materialize(members.groupBy("node").agg((F.max("n") > few).alias("crowded")).join(keyed, "node").select(F.col("first").alias("id"), "node", "digest", "crowded"), "wanted")
-    packed = texts.join(spread(wanted), "id").mapInArrow(_packed(size, table), "node long, packed binary, size long, marks binary").dropDuplicates(["node"])
+    wanted = materialize(members.groupBy("node").agg((F.max("n") > few).alias("crowded")).join(keyed, "node").select(F.col("first").alias("id"), "h", "node", "digest", "crowded"), "wanted")
+    packed = texts.join(spread(wanted), ["id", "h"]).mapInArrow(_packed(size, table), "node long, packed binary, size long, marks binary").dropDuplicates(["node"])
     packed = materialize(packed, "texts")
     # a crowded bucket: all against the member that shares most buckets with others, which is what most are copies of
     crowd = members.where(F.col("n") > few)
@@ -440,10 +440,10 @@ def _links(texts: DataFrame, keyed: DataFrame, size: int, threshold: float, tabl
 
 def _classes(docs: DataFrame, threshold: float, shingle: int, bands: int, rows: int) -> DataFrame:
     """id, h (of the text), class (the least id of its class), and stays (whether id and h are those of the row that stands for the class) of each row of docs."""
-    spark, texts = docs.sparkSession, with_id(docs)
+    # an id alone may be that of many texts, null above all
+    spark, texts = docs.sparkSession, with_id(docs, F.xxhash64(F.col("text").cast("string")).alias("h"))
     table = spark.sparkContext.broadcast(frequency_weights(texts, shingle))  # fixed size: 2 x WIDTH numbers
-    hashed = with_id(docs, F.xxhash64(F.col("text").cast("string")).alias("h"))
-    signed = materialize(hashed.mapInArrow(_signed(shingle, bands, rows, table), "id long, h long, digest binary, keys array<bigint>"), "signed")
+    signed = materialize(texts.mapInArrow(_signed(shingle, bands, rows, table), "id long, h long, digest binary, keys array<bigint>"), "signed")
     # written, so that Spark deals out the joins below anew and can split a digest that many rows share
     nodes = signed.groupBy("digest").agg(F.min(F.struct("id", "h", "keys")).alias("least"))
     nodes = materialize(nodes.select("digest", F.monotonically_increasing_id().alias("node"), F.col("least.id").alias("first"), F.col("least.h").alias("h"), F.col("least.keys").alias("keys")), "nodes")

@@ -537,6 +537,9 @@ def test_near_dedup_of_odd_rows(spark):
     got = near_dedup.near_dedup(df).collect()
     classes = Counter((r.doc_id, r.class_id) for r in got)
     assert classes == Counter({**{(i, 0): 1 for i in range(1, 30)}, (0, 0): 2, (None, None): 3, (40, 40): 1, (41, 40): 1, (42, 40): 1})
+    nameless = near_dedup.near_dedup(df.withColumn("doc_id", F.lit(None).cast("long"))).collect()
+    assert len(nameless) == len(lines) and {r.class_id for r in nameless} == {None}
+    assert near_dedup.keep_one(df.withColumn("doc_id", F.lit(None).cast("long"))).count() == 5
     kept = near_dedup.keep_one(df)
     assert kept.columns == df.columns and kept.where("id <> 0 or _id <> 1 or h <> 2 or n <> 8").isEmpty()
     texts = Counter(r.text for r in kept.collect())
