@@ -43,7 +43,7 @@ from lodestar.llm.common import NULL_ID, Hashes, as_bytes, blocks, doc_id_of, ke
 from lodestar.llm.components import components
 
 #: Counters in each of the two rows of the document-frequency sketch.
-WIDTH = 1 << 20
+WIDTH = 1 << 19
 #: The least share of documents that counts as one of its own.
 RARE = 1 / 1024
 #: Further samples of members of crowded buckets, kept as a byte each.
@@ -383,7 +383,7 @@ def _beside_links(crowd: DataFrame, packed: DataFrame, links: DataFrame, size: i
     return materialize(ordered.mapInArrow(_neighbours(size, threshold, table, beside), _LINKS), "beside")
 
 
-def _far_links(crowd: DataFrame, keyed: DataFrame, packed: DataFrame, links: DataFrame, size: int, threshold: float, table, side: int = 512, most: int = 16 << 20) -> DataFrame:
+def _far_links(crowd: DataFrame, keyed: DataFrame, packed: DataFrame, links: DataFrame, size: int, threshold: float, table, side: int = 512, most: int = 8 << 20) -> DataFrame:
     """Verified links between members of crowded buckets that ``links`` leave in different classes.
 
     The members of a bucket are dealt into blocks of about ``side`` and ``most`` bytes, a class of more than that into blocks of its own, and
@@ -408,7 +408,7 @@ def _far_links(crowd: DataFrame, keyed: DataFrame, packed: DataFrame, links: Dat
     return materialize(texts_of.groupBy("key", "i", "j").applyInArrow(_blocks_compared(size, threshold, table), _LINKS), "far")
 
 
-def _links(texts: DataFrame, keyed: DataFrame, size: int, threshold: float, table, few: int = 8, beside: int = 8, most_broadcast: int = 1_000_000) -> DataFrame:
+def _links(texts: DataFrame, keyed: DataFrame, size: int, threshold: float, table, few: int = 8, beside: int = 8, most_broadcast: int = 300_000) -> DataFrame:
     """Verified links (a, b) of nodes, enough to join the classes of all buckets. texts: id, h (of the text), text; keyed: node, first (an id), h, digest, keys (one for each band)."""
     spread = lambda df: F.broadcast(df) if df.count() <= most_broadcast else df  # noqa: E731  written tables of a few numbers a row
     each_key = keyed.select("node", F.explode("keys").alias("key"))
