@@ -21,6 +21,31 @@ def with_sides(pairs: DataFrame, s1: DataFrame, vendors: DataFrame, *columns: st
     return pairs.join(left, "s1_id").join(right, "vendor_id")
 
 
+#: Records of one side in a cell of a crowded block (see ``block_pairs``).
+CELL = 2048
+
+
+def block_pairs(s1: DataFrame, vendors: DataFrame, key: str, *columns: str, cell: int = CELL) -> DataFrame:
+    """s1_id, vendor_id, a_..., b_... of the pairs of a country with one key, from columns of records that have one key each.
+
+    The records carry their columns into one join, so nothing is shuffled for a pair, and what is worth computing once for a record is computed before.
+    Blocks of more than ``cell`` records of a side are dealt into cells of about ``cell`` x ``cell`` pairs, for which records are repeated: a thousandth of the pairs.
+    """
+    sizes = s1.select("country", key, F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(vendors.select("country", key, F.lit(0).alias("x"), F.lit(1).alias("y")))
+    sizes = sizes.groupBy("country", key).agg(F.ceil(F.sum("x") / cell).alias("_p"), F.ceil(F.sum("y") / cell).alias("_q"))
+    crowded = F.broadcast(sizes.where((F.least("_p", "_q") > 0) & (F.greatest("_p", "_q") > 1)))  # a row for each ``cell`` records at most
+    one, every = lambda n: F.pmod(F.xxhash64("entity_id"), F.coalesce(n, F.lit(1))), lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(n, F.lit(1)) - 1))
+
+    def side(df: DataFrame, id_: str, t: str, i: Column, j: Column) -> DataFrame:
+        # two selects: a generator beside other expressions would be evaluated after them
+        dealt = df.select("entity_id", *{"country", key, *columns}).join(crowded, ["country", key], "left").withColumn("_i", i).withColumn("_j", j)
+        return dealt.select(F.col("country").alias("_c"), F.col(key).alias("_k"), "_i", "_j", F.col("entity_id").alias(id_), *(F.col(c).alias(f"{t}_{c}") for c in columns))
+
+    a = side(s1, "s1_id", "a", one(F.col("_p")), every(F.col("_q")))
+    b = side(vendors, "vendor_id", "b", every(F.col("_p")), one(F.col("_q")))
+    return a.join(b, ["_c", "_k", "_i", "_j"]).drop("_c", "_k", "_i", "_j")
+
+
 def _ab(c: str) -> tuple[Column, Column]:
     return F.col(f"a_{c}"), F.col(f"b_{c}")
 
@@ -38,6 +63,14 @@ def token_jaccard(c: str = "name_norm") -> Column:
     return sim.jaccard(*(text.tokens_of(x) for x in _ab(c)))
 
 
+def set_jaccard(c: str) -> Column:
+    """Jaccard similarity of two sets (arrays without repeats)."""
+    a, b = _ab(c)
+    shared = F.size(F.array_intersect(a, b))
+    union = F.size(a) + F.size(b) - shared
+    return F.when(union > 0, shared / union).otherwise(0.0)
+
+
 def trigram_jaccard(c: str = "name_norm") -> Column:
     return sim.jaccard(*(text.grams(x, 3) for x in _ab(c)))
 
@@ -46,26 +79,27 @@ def levenshtein(c: str = "name_norm") -> Column:
     return F.levenshtein(*_ab(c))
 
 
-def lengths(c: str = "name_norm") -> dict[str, Column]:
-    a, b = _ab(c)
-    na, nb = F.size(text.tokens_of(a)), F.size(text.tokens_of(b))
-    return {"length_gap": F.abs(F.length(a) - F.length(b)), "length_ratio": sim.ratio_of(F.length(a), F.length(b)), "token_gap": F.abs(na - nb)}
+def lengths(characters: str = "characters", tokens: str = "tokens") -> dict[str, Column]:
+    """characters, tokens: how many a record has."""
+    (a, b), (na, nb) = _ab(characters), _ab(tokens)
+    return {"length_gap": F.abs(a - b), "length_ratio": sim.ratio_of(a, b), "token_gap": F.abs(na - nb)}
 
 
-def first_token(c: str = "business_name") -> dict[str, Column]:
-    a, b = (text.first_word(F.lower(x)) for x in _ab(c))
-    return {"first_equal": F.coalesce(a == b, F.lit(False)), "sound_equal": F.coalesce(text.soundex(a) == text.soundex(b), F.lit(False))}
+def first_token(first: str = "first", sound: str = "sound") -> dict[str, Column]:
+    """first, sound: the first word of a record in lower case, and its code."""
+    equal = lambda a, b: F.coalesce(a == b, F.lit(False))
+    return {"first_equal": equal(*_ab(first)), "sound_equal": equal(*_ab(sound))}
 
 
-def _legal(c: Column) -> Column:
+def legal_forms(c: Column) -> Column:
     table = F.create_map(*(F.lit(x) for p in LEGAL_CLASSES.items() for x in p))
     forms = F.filter(text.tokens_of(c), lambda t: t.isin(sorted(text.LEGAL_TOKENS - set("and the of und et".split()))))
     return F.array_distinct(F.transform(forms, lambda t: F.coalesce(F.try_element_at(table, t), t)))
 
 
-def legal(c: str = "name_clean") -> dict[str, Column]:
-    """Whether both names have a common legal form, or each its own. c: names cleaned, legal forms kept."""
-    a, b = (_legal(x) for x in _ab(c))
+def legal(c: str = "forms") -> dict[str, Column]:
+    """Whether both names have a common legal form, or each its own. c: ``legal_forms`` of names cleaned, legal forms kept."""
+    a, b = _ab(c)
     both = (F.size(a) > 0) & (F.size(b) > 0)
     return {"legal_agree": both & F.arrays_overlap(a, b), "legal_conflict": both & ~F.arrays_overlap(a, b)}
 
@@ -76,10 +110,9 @@ def numbers(c: str = "business_address") -> dict[str, Column]:
     return {"number_overlap": F.arrays_overlap(_numbers(a), _numbers(b)), "house_equal": (house[0] == house[1]) & (house[0] != ""), "postcode_equal": F.arrays_overlap(*(F.transform(postcodes(x), lambda z: F.substring(z, 1, 5)) for x in (a, b)))}
 
 
-def landmark(c: str = "addr_norm") -> Column:
-    """Common words among the three after near, opposite, behind."""
-    after = lambda x: F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(x, F.lit(r"(?:near|opposite|behind) ((?:\S+ ?){1,3})"), F.lit(1)), lambda s: F.split(F.trim(s), " "))))
-    return sim.jaccard(*(after(x) for x in _ab(c)))
+def landmark_words(c: Column) -> Column:
+    """The words among the three after near, opposite, behind."""
+    return F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(c, F.lit(r"(?:near|opposite|behind) ((?:\S+ ?){1,3})"), F.lit(1)), lambda s: F.split(F.trim(s), " "))))
 
 
 def name_in_address() -> Column:
@@ -88,8 +121,9 @@ def name_in_address() -> Column:
 
 
 def missing() -> dict[str, Column]:
+    """words: the distinct words of a record's address."""
     a, b = _ab("has_address")
-    return {"both_addresses": a & b, "address_jaccard": F.when(a & b, token_jaccard("addr_norm"))}
+    return {"both_addresses": a & b, "address_jaccard": F.when(a & b, set_jaccard("words"))}
 
 
 def cross() -> dict[str, Column]:
@@ -129,24 +163,42 @@ def regional(c: str = "business_address") -> dict[str, Column]:
     return {k: b.rlike(p) for k, p in tests.items()}
 
 
-def tfidf_cosine(pairs: DataFrame, terms: DataFrame) -> DataFrame:
-    """s1_id, vendor_id, tfidf. terms: entity_id, term (with repeats), of both sides. Weights are tf x ln(1 + N / df); norms are grouped sums."""
+def _weights(w: DataFrame) -> DataFrame:
+    """entity_id, _w: a record's terms and their weights as a map."""
+    return w.groupBy("entity_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("_w"))
+
+
+def _with_weights(records: DataFrame, w: DataFrame) -> DataFrame:
+    out = records.join(_weights(w), "entity_id", "left")
+    return out.withColumns({"weights": F.col("_w"), "terms": F.coalesce(F.map_keys("_w"), F.array().cast("array<string>"))}).drop("_w")
+
+
+def tfidf_weights(records: DataFrame, terms: DataFrame) -> DataFrame:
+    """records with terms and weights. terms: entity_id, term (with repeats), of both sides. Weights are tf x ln(1 + N / df) over their norm."""
     tf = terms.groupBy("entity_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     total = terms.agg(F.countDistinct("entity_id").alias("n"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(total)).select("term", F.log(1 + F.col("n") / F.col("df")).alias("idf"))  # total: one row
     w = tf.join(df, "term").select("entity_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = w.groupBy("entity_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    side = w.join(norm, "entity_id").select("entity_id", "term", (F.col("w") / F.col("norm")).alias("w"))
-    a, b = side.toDF("s1_id", "term", "wa"), side.toDF("vendor_id", "term", "wb")
-    dots = pairs.join(a, "s1_id").join(b, ["vendor_id", "term"]).groupBy("s1_id", "vendor_id").agg(F.sum(F.col("wa") * F.col("wb")).alias("d"))
-    return pairs.join(dots, ["s1_id", "vendor_id"], "left").select("s1_id", "vendor_id", F.coalesce("d", F.lit(0.0)).alias("tfidf"))
+    return _with_weights(records, w.join(norm, "entity_id").select("entity_id", "term", (F.col("w") / F.col("norm")).alias("w")))
+
+
+def tfidf_cosine() -> Column:
+    """Over pairs whose sides have terms and weights (``tfidf_weights``)."""
+    (ta, tb), (wa, wb) = _ab("terms"), _ab("weights")
+    return F.aggregate(F.array_sort(F.array_intersect(ta, tb)), F.lit(0.0), lambda s, t: s + wa[t] * wb[t])
+
+
+def idf_weights(records: DataFrame, keys: DataFrame, frequencies: DataFrame, n: int) -> DataFrame:
+    """records with terms and weights ln(n / df); frequencies come from the training fold alone, words outside it count nothing. keys: entity_id, key."""
+    w = keys.select("entity_id", "key").distinct().join(frequencies, "key").select("entity_id", F.col("key").alias("term"), F.log(F.lit(float(n)) / F.col("df")).alias("w"))
+    return _with_weights(records, w)
 
 
-def idf_overlap(pairs: DataFrame, s1_keys: DataFrame, vendor_keys: DataFrame, frequencies: DataFrame, n: int) -> DataFrame:
-    """Summed ln(n / df) of common words; frequencies come from the training fold alone, words outside it count nothing."""
-    shared = pairs.join(s1_keys.select(F.col("entity_id").alias("s1_id"), "key"), "s1_id").join(vendor_keys.select(F.col("entity_id").alias("vendor_id"), "key"), ["vendor_id", "key"])
-    sums = shared.join(frequencies, "key").groupBy("s1_id", "vendor_id").agg(F.sum(F.log(F.lit(float(n)) / F.col("df"))).alias("v"))
-    return pairs.join(sums, ["s1_id", "vendor_id"], "left").select("s1_id", "vendor_id", F.coalesce("v", F.lit(0.0)).alias("idf_overlap"))
+def idf_overlap() -> Column:
+    """Summed weights of common words, over pairs whose sides have terms and weights (``idf_weights``)."""
+    (ta, tb), (wa, _) = _ab("terms"), _ab("weights")
+    return F.aggregate(F.array_sort(F.array_intersect(ta, tb)), F.lit(0.0), lambda s, t: s + wa[t])
 
 
 jaro_winkler = sim.arrow_udf(sim.jaro_winkler, T.DoubleType())
