@@ -70,13 +70,18 @@ def taxonomy(counted: DataFrame, retrieved: DataFrame) -> DataFrame:
     return counted.join(retrieved, "s1_id", "left").select("s1_id", label.alias("label"))
 
 
+def foreign(name: Column) -> Column:
+    """Whether a name has characters of another script than Latin."""
+    return F.coalesce(name, F.lit("")).rlike(r"[^\p{IsLatin}\p{IsCommon}\p{IsInherited}]")
+
+
 def error_causes(pairs: DataFrame, common: int = 3) -> DataFrame:
-    """s1_id, vendor_id and each cause that the two records show for a wrongly judged pair. pairs: ids, a_ and b_ name_norm, addr_norm, business_name, country, and name_count, addr_count (vendor records that share b's).
+    """s1_id, vendor_id and each cause that the two records show for a wrongly judged pair. pairs: ids, a_ and b_ name_norm, addr_norm, business_name (or ``foreign`` of it), country, and name_count, addr_count (vendor records that share b's).
 
     With ``taxonomy`` these are all labels: that one tells what went wrong with an entity, this one what is in the way of a pair.
     """
     a, b = (lambda c: F.coalesce(F.col(f"a_{c}"), F.lit(""))), (lambda c: F.coalesce(F.col(f"b_{c}"), F.lit("")))
-    foreign = lambda c: c("business_name").rlike(r"[^\p{IsLatin}\p{IsCommon}\p{IsInherited}]")
+    other = tuple(F.col(f"{x}_foreign") if f"{x}_foreign" in pairs.columns else foreign(F.col(f"{x}_business_name")) for x in "ab")
     absent = (a("addr_norm") == "") | (b("addr_norm") == "")
     tests = {
         "ADDRESS_NOISE": ~absent & (a("addr_norm") != b("addr_norm")),
@@ -84,9 +89,9 @@ def error_causes(pairs: DataFrame, common: int = 3) -> DataFrame:
         "COMMON_NAME": F.coalesce(F.col("name_count") >= common, F.lit(False)),
         "COUNTRY_SHIFT": ~F.col("a_country").eqNullSafe(F.col("b_country")),
         "MISSING_ADDRESS": absent,
-        "MULTILINGUAL": foreign(a) | foreign(b),
+        "MULTILINGUAL": other[0] | other[1],
         "NAME_NOISE": a("name_norm") != b("name_norm"),
-        "TRANSLITERATION": foreign(a) != foreign(b),
+        "TRANSLITERATION": other[0] != other[1],
     }
     found = F.filter(F.array(*(F.when(t, k) for k, t in tests.items())), lambda x: x.isNotNull())
     return pairs.select("s1_id", "vendor_id", F.explode(found).alias("cause"))
