@@ -148,14 +148,20 @@ def _with_weights(records: DataFrame, w: DataFrame) -> DataFrame:
     return out.withColumns({"weights": F.col("_w"), "terms": F.coalesce(F.map_keys("_w"), F.array().cast("array<string>"))}).drop("_w")
 
 
-def tfidf_weights(records: DataFrame, terms: DataFrame) -> DataFrame:
-    """records with terms and weights. terms: entity_id, term (with repeats), of both sides. Weights are tf x ln(1 + N / df) over their norm."""
-    tf = terms.groupBy("entity_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    total = terms.agg(F.countDistinct("entity_id").alias("n"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(total)).select("term", F.log(1 + F.col("n") / F.col("df")).alias("idf"))  # total: one row
-    w = tf.join(df, "term").select("entity_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = w.groupBy("entity_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return _with_weights(records, w.join(norm, "entity_id").select("entity_id", "term", (F.col("w") / F.col("norm")).alias("w")))
+def tfidf_weights(records: DataFrame, corpus: DataFrame, c: str = "name_norm") -> DataFrame:
+    """records with terms and weights of their text c. corpus: a row with c for each record of both sides. Weights are tf x ln(1 + N / df) over their norm.
+
+    Equal texts are one row with their number from the first shuffle on.
+    """
+    names = corpus.groupBy(c).agg(F.count(F.lit(1)).alias("_m")).withColumn("_t", text.tokens_of(F.col(c))).where(F.size("_t") > 0)
+    counts = F.transform(F.array_distinct("_t"), lambda t: F.struct(t.alias("term"), F.size(F.filter("_t", lambda x: x == t)).alias("tf")))
+    each = names.select(c, "_m", F.explode(counts).alias("_x")).select(c, "_m", "_x.term", "_x.tf")
+    total = names.agg(F.sum("_m").alias("n"))
+    df = each.groupBy("term").agg(F.sum("_m").alias("df")).join(F.broadcast(total)).select("term", F.log(1 + F.col("n") / F.col("df")).alias("idf"))  # total: one row
+    w = each.join(df, "term").groupBy(c).agg(F.array_sort(F.collect_list(F.struct("term", (F.col("tf") * F.col("idf")).alias("w")))).alias("_w"))
+    norm = F.sqrt(F.aggregate("_w", F.lit(0.0), lambda s, x: s + x.w * x.w))
+    w = w.withColumn("_norm", norm).select(c, F.map_from_entries(F.transform("_w", lambda x: F.struct(x.term, x.w / F.col("_norm")))).alias("weights"))
+    return records.join(w, c, "left").withColumn("terms", F.coalesce(F.map_keys("weights"), F.array().cast("array<string>")))
 
 
 def tfidf_cosine() -> Column:
