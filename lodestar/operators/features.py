@@ -102,7 +102,8 @@ def missing() -> dict[str, Column]:
 
 
 def cross() -> dict[str, Column]:
-    return {"same_country": F.col("a_country") == F.col("b_country"), "sources": F.concat_ws("-", F.substring("s1_id", 1, 2), F.substring("vendor_id", 1, 2))}
+    """source: what an id begins with."""
+    return {"same_country": F.col("a_country") == F.col("b_country"), "sources": F.concat_ws("-", *_ab("source"))}
 
 
 def affixes(c: str = "name_norm") -> dict[str, Column]:
