@@ -127,9 +127,9 @@ def sound_alikes(c: str = "name_norm") -> Column:
 
 
 def retrieval(cand: DataFrame) -> DataFrame:
-    """Evidence of retrieval: how many strategies agree, and how many entities a vendor record is a candidate of."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("vendor_id"))
-    return cand.select("s1_id", "vendor_id", "n_strategies", *(F.array_contains("strategies", s).alias(f"by_{s}") for s in ("name_prefix", "postcode", "soundex")), n.alias("claimed_by"))
+    """Evidence of retrieval: how many strategies agree, and how many entities a vendor record is a candidate of. cand: of ``blocking.union_lists`` with claims."""
+    by = (F.array_contains("strategies", s).alias(f"by_{s}") for s in ("name_prefix", "postcode", "soundex"))
+    return cand.select("s1_id", "vendor_id", F.size("strategies").alias("n_strategies"), *by, "claimed_by")
 
 
 def regional(c: str = "business_address") -> dict[str, Column]:
